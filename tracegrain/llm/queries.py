@@ -37,8 +37,42 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+
+    from tracegrain.llm import bpe
+
+    vocabulary = bpe.load_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    ids = bpe.encode(read(spark, sf_dir, "documents"), vocabulary)
+    text = bpe.decode(ids, vocabulary, keep=("doc_id", "ids"))
+
+    def digest(batches):
+        for b in batches:
+            flat, n = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False), np.asarray(b.column(1).value_lengths())
+            ends = np.cumsum([0, *n])
+            sha = [hashlib.sha256(flat[x:y].tobytes()).hexdigest() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha), b.column(2)], names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
+
+    out = text.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded string")
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tracegrain.llm import bpe, orc_tokens
+
+    vocabulary = bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    path = orc_tokens.write(read(spark, sf_dir, "documents"), vocabulary, end_id=2)
+    return orc_tokens.catalogue(spark, path)
+
+
 def queries() -> dict:
-    return {"op3_topk_search": op3_topk_search}
+    return {"op3_topk_search": op3_topk_search, "op5_bpe": op5_bpe, "op6_orc_tokens": op6_orc_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
