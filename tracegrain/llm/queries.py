@@ -37,6 +37,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracegrain.llm import langid
+
+    docs = read(spark, sf_dir, "documents")
+    predict = langid.predictor(spark, langid.fit(docs.where(fold(4) != 2)))
+    found = docs.select("doc_id", (fold(4) == 2).alias("held_out"), predict("text").alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracegrain.llm import quality
+
+    docs = read(spark, sf_dir, "documents")
+    score = quality.scorer(spark, quality.fit(docs, read(spark, sf_dir, "labels").where(fold(5) != 0)))
+    found = docs.select("doc_id", (fold(5) == 0).alias("held_out"), score("text").alias("score"))
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import hashlib
 
@@ -72,7 +90,7 @@ def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_topk_search": op3_topk_search, "op5_bpe": op5_bpe, "op6_orc_tokens": op6_orc_tokens}
+    return {"op3_topk_search": op3_topk_search, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_orc_tokens": op6_orc_tokens, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
