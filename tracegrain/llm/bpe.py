@@ -4,8 +4,9 @@ Encoding a text with a public tokenizer is the concatenation of encoding its
 white-space-delimited words, because no pre-token of the supported vocabularies
 crosses from a non-space to a white-space character. Each task therefore splits
 its texts into words, encodes every distinct word once, and joins the ids back
-to the positions of the words. The table of a task is bounded and is started
-anew when full, so a corpus with an endless vocabulary costs time, not memory.
+to the positions of the words. The table of a task is bounded: when full it is
+put aside as the old half, from which words that come again are taken over, so a
+corpus with an endless vocabulary costs time, not memory.
 
 The word table stays with the task: with the vocabulary of real text, (word,
 block) pairs for a cluster-wide table are a large part of the text itself.
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Words a task remembers, and characters of text handled at a time.
-TABLE_WORDS, BLOCK_CHARS = 300_000, 2_000_000
+#: Words in either half of a task's table, characters of text and documents handled at a time.
+TABLE_WORDS, BLOCK_CHARS, BLOCK_DOCS = 250_000, 1_000_000, 500
 #: A run of white space with the word after it. U+001C-001F are spaces to Python only, so they never end a word.
 _SEGMENT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+")
 
@@ -51,7 +53,7 @@ class WordTable:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.keep_space, self.limit, self.ids = keep_space, limit, {}
+        self.keep_space, self.limit, self.ids, self.old = keep_space, limit, {}, {}
 
     def split(self, text: str) -> list:
         if not self.keep_space:
@@ -63,17 +65,48 @@ class WordTable:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         words = [self.split(t) for t in texts]
-        new = list(set().union(*words).difference(self.ids)) if words else []
-        if len(self.ids) + len(new) > self.limit:
-            self.ids = {}
-            new = list(set().union(*words))
+        wanted = set().union(*words)
+        if len(self.ids) + len(wanted.difference(self.ids)) > self.limit:
+            self.old, self.ids = self.ids, {}
+        new = []
+        for w in wanted.difference(self.ids):
+            if (known := self.old.get(w)) is None:
+                new.append(w)
+            else:
+                self.ids[w] = known
         plain = new if self.keep_space else [w.decode("utf-8") for w in new]
-        for w, e in zip(new, self.tokenizer.encode_batch(plain, add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(new), 1000):
+            for w, e in zip(new[at : at + 1000], self.tokenizer.encode_batch_fast(plain[at : at + 1000], add_special_tokens=False), strict=True):
+                self.ids[w] = np.array(e.ids, "<u4").tobytes()
         get = self.ids.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
+class Pieces:
+    """The id-to-piece table of a vocabulary, of fixed size."""
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
+        self.plain = self.tokenizer.decoder is None
+        self.pieces = pa.array([self.tokenizer.id_to_token(i) for i in range(size)], pa.string())
+
+    def join(self, lists: pa.ListArray) -> pa.Array:
+        """The text of each list: its pieces with blanks between them, or what the vocabulary's own decoder makes of them."""
+        if not self.plain:
+            return pa.array([self.tokenizer.decode(ids or [], skip_special_tokens=False) for ids in lists.to_pylist()], pa.string())
+        ids, n = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        known = pc.is_in(ids, pa.array(np.flatnonzero(self.pieces.is_valid().to_numpy(zero_copy_only=False)), pa.int32()))
+        if not pc.all(known).as_py() and len(ids):  # leave the others out
+            mask = known.to_numpy(zero_copy_only=False)
+            n = np.bincount(np.repeat(np.arange(len(n)), n)[mask], minlength=len(n))
+            ids = ids.filter(known)
+        ends = pa.array(np.cumsum([0, *n]), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(ends, self.pieces.take(ids)), " ")
+
+
 def word_table(vocabulary: str, keep_space: bool) -> WordTable:
     """The table of this worker process, kept between its tasks."""
     key = (hash(vocabulary), keep_space)
@@ -115,10 +148,12 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[s
     def run(batches):
         table = word_table(shared.value, keep_space)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            for a, b in blocks(texts):
-                kept = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, id_lists(table.encode(texts[a:b]), tail)], names=[*keep, ids_col])
+            for at in range(0, batch.num_rows, BLOCK_DOCS):
+                part = batch.slice(at, BLOCK_DOCS)
+                texts = [t or "" for t in part.column(len(keep)).to_pylist()]
+                for a, b in blocks(texts):
+                    kept = [part.column(i).slice(a, b - a) for i in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*kept, id_lists(table.encode(texts[a:b]), tail)], names=[*keep, ids_col])
 
     rows = df.select(*keep, text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -136,19 +171,11 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", keep: tuple[str
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(shared.value)
-        size = max(t.get_vocab(with_added_tokens=True).values(), default=-1) + 1
-        pieces = {i: p for i in range(size) if (p := t.id_to_token(i)) is not None}
-        plain = t.decoder is None
+        table = Pieces(shared.value)
         for batch in batches:
-            lists = batch.column(len(keep)).to_pylist()
-            if plain:
-                out = [" ".join([pieces[i] for i in ids if i in pieces]) if ids else "" for ids in lists]
-            else:
-                out = [t.decode(ids or [], skip_special_tokens=False) for ids in lists]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.string())], names=[*keep, text_col])
+            for at in range(0, batch.num_rows, BLOCK_DOCS):
+                part = batch.slice(at, BLOCK_DOCS)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), table.join(part.column(len(keep)))], names=[*keep, text_col])
 
     rows = df.select(*keep, ids_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
