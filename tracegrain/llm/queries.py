@@ -52,6 +52,40 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    import pyarrow as pa
+
+    from tracegrain.llm import spotsigs
+
+    def compare(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                out = []
+                for text, after in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    half = len(text) // 2
+                    edited = text[: len(text) - half] + after[:half]
+                    sets = [spotsigs.signatures(t) for t in (text, edited, after)]
+                    out.append((len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), spotsigs.pack(sets[0]), spotsigs.pack(sets[1]), spotsigs.likeness(sets[0], sets[1]), spotsigs.likeness(sets[0], sets[2])))
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
+
+    rows = spotsigs.with_next(read(spark, sf_dir, "documents"))
+    return rows.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracegrain.llm import chat
+
+    said = r"\### Assistant: </turn> ok"
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_windows(turns.unionByName(own)))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracegrain.llm import quality
 
@@ -98,8 +132,21 @@ def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.catalogue(spark, path)
 
 
+OP9_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
+FROM t GROUP BY conv_id
+"""
+
+
 def queries() -> dict:
-    return {"op3_topk_search": op3_topk_search, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_orc_tokens": op6_orc_tokens, "op7_minhash": op7_minhash, "op10_quality": op10_quality}
+    return {"op3_topk_search": op3_topk_search, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_orc_tokens": op6_orc_tokens, "op7_minhash": op7_minhash, "op8_spotsigs": op8_spotsigs, "op9_chat": op9_chat, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
