@@ -15,6 +15,12 @@ def fold(mod: int, id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracegrain.llm import packing
+
+    return packing.best_fit(read(spark, sf_dir, "documents"))
+
+
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracegrain.llm import ctw
 
@@ -152,7 +158,7 @@ FROM t GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op2_ctw": op2_ctw, "op3_topk_search": op3_topk_search, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_orc_tokens": op6_orc_tokens, "op7_minhash": op7_minhash, "op8_spotsigs": op8_spotsigs, "op9_chat": op9_chat, "op10_quality": op10_quality}
+    return {"op1_packing": op1_packing, "op2_ctw": op2_ctw, "op3_topk_search": op3_topk_search, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_orc_tokens": op6_orc_tokens, "op7_minhash": op7_minhash, "op8_spotsigs": op8_spotsigs, "op9_chat": op9_chat, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
