@@ -164,6 +164,11 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     return left.union(right).groupBy("bucket", "bx", "by").applyInArrow(_cross, "hub long, id long").distinct()
 
 
+def node(id_col: str, text_col: str):
+    """The id that a row goes by in here."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(STAND_IN) + F.shiftrightunsigned(F.xxhash64(text_col), 2))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``df``.
 
@@ -175,8 +180,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are linked like others but can only stand for a group that has no id at
     all: there component_id is null and kept is true. An empty table gives no rows.
     """
-    named = F.coalesce(F.col(id_col).cast("long"), F.lit(STAND_IN) + F.shiftrightunsigned(F.xxhash64(text_col), 2))
-    rows = df.select(named.alias("id"), F.col(text_col).alias("text"))
+    real = lambda c: F.when(F.col(c) < STAND_IN, F.col(c))
+    return _components(df, id_col, text_col).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), (F.col("id") == F.col("c")).alias("kept"))
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, one of each group of near duplicates.
+
+    The row of the smallest id stays; of rows that repeat that id, the one with
+    the smallest text.
+    """
+    own = "__tracegrain_node"
+    stay = _components(df, id_col, text_col).groupBy("id").agg(F.max(F.col("id") == F.col("c")).alias("stays"), F.count(F.lit(1)).alias("m"))
+    stay = staged(stay.where("stays").select(F.col("id").alias(own), "m"), "stay")
+    rows = df.withColumn(own, node(id_col, text_col))
+    once = rows.join(stay.where("m = 1").select(own), own, "left_semi")
+    repeated = rows.join(stay.where("m > 1").select(own), own, "left_semi")
+    at = "__tracegrain_at"
+    first = repeated.withColumn(at, F.row_number().over(Window.partitionBy(own).orderBy(text_col))).where(F.col(at) == 1).drop(at)
+    return once.unionByName(first).drop(own)
+
+
+def _components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, n (shingles) and c (smallest id of the component) for each row."""
+    rows = df.select(node(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     signed = staged(rows.mapInArrow(_sign, "id long, n long, key binary, bands array<long>"), "signatures")
     classes = signed.groupBy("key").agg(F.min(F.struct("id", "n", "bands")).alias("r"))
     reps = classes.select("key", "r.id", "r.n", "r.bands")
@@ -230,5 +257,4 @@ def _answer(signed: DataFrame, reps: DataFrame, comp: DataFrame | None) -> DataF
         rows = rows.withColumn("c", F.when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("id")))
     else:
         rows = rows.withColumn("c", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")))
-    real = lambda c: F.when(F.col(c) < STAND_IN, F.col(c))
-    return rows.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), (F.col("id") == F.col("c")).alias("kept"))
+    return rows.select("id", "n", "c")

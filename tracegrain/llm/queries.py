@@ -144,6 +144,12 @@ def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.catalogue(spark, path)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -158,7 +164,7 @@ FROM t GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_ctw": op2_ctw, "op3_topk_search": op3_topk_search, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_orc_tokens": op6_orc_tokens, "op7_minhash": op7_minhash, "op8_spotsigs": op8_spotsigs, "op9_chat": op9_chat, "op10_quality": op10_quality}
+    return {"op1_packing": op1_packing, "op2_ctw": op2_ctw, "op3_topk_search": op3_topk_search, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_orc_tokens": op6_orc_tokens, "op7_minhash": op7_minhash, "op8_spotsigs": op8_spotsigs, "op9_chat": op9_chat, "op10_quality": op10_quality, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
