@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tracegrain.plans.materialize import staged
 
 #: Bytes of context (at least 3), bytes of a chunk, bytes counted at a time, and slots of a lookup table.
-DEPTH, CHUNK, BLOCK, SLOT_BITS = 4, 32 << 20, 2 << 20, 21
+DEPTH, CHUNK, BLOCK, SLOT_BITS = 5, 64 << 20, 2 << 20, 21
 END = b"\n"
 HALF = np.log(0.5)
 LOG10 = np.log(10)
@@ -70,7 +70,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for i in range(8):
         shift *= x + i
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - np.log(shift)
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -247,7 +247,7 @@ def _features(depth: int):
 
 
 class Lookup:
-    """Values of int64 keys, all of which are known: a table of slots, and a sorted rest for keys that share one."""
+    """Values of int64 keys, 0 for others: a table of slots, and a sorted rest for keys that share one."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.keys, self.values = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS)
@@ -268,8 +268,10 @@ class Lookup:
         at = self._slot(keys)
         out = self.values[at]
         miss = np.flatnonzero((self.keys[at] != keys) | ~self.used[at])
-        if len(miss):
-            out[miss] = self.rest_values[np.searchsorted(self.rest, keys[miss])]
+        out[miss] = 0
+        if len(self.rest) and len(miss):
+            found = np.minimum(np.searchsorted(self.rest, keys[miss]), len(self.rest) - 1)
+            out[miss] = np.where(self.rest[found] == keys[miss], self.rest_values[found], 0)
         return out
 
 
@@ -281,13 +283,18 @@ def _score(depth: int, n: int, v: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kind, key, value = (right.column(c).to_numpy() for c in ("kind", "key", "value"))
-        words, grams = (Lookup(key[kind == k], value[kind == k]) for k in (0, 1))
+        grams = Lookup(key[kind == 1], value[kind == 1].astype(np.float64))
+        elsewhere = key[kind == 0], value[kind == 0].astype(np.float64)
         del kind, key, value
         out: dict[str, list] = {c: [] for c in names[1:]}
         ids = []
         for blob in left.column("docs"):
             doc_id, held, norms = _docs(blob.as_buffer())
             m = len(doc_id)
+            own = [np.unique(np.concatenate([word_keys(t) for t in texts]), return_counts=True) for _, texts in _blocks(norms, np.flatnonzero(~held))]
+            own_keys, own_counts = _merged(own)[0] if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            alone = ~np.isin(own_keys, elsewhere[0])
+            words = Lookup(np.concatenate([elsewhere[0], own_keys[alone]]), np.concatenate([elsewhere[1], own_counts[alone]]))
             tokens, known, base, score, size = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m), np.zeros(m)
             for at, texts in _blocks(norms, np.arange(m)):
                 each = [word_keys(t) for t in texts]
@@ -322,9 +329,12 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     chunks = staged(rows.mapInArrow(_pack, "chunk long, docs binary"), "text-chunks")
     found = staged(chunks.mapInArrow(_features(depth), "chunk long, kind byte, key long, n long"), "features")
     by_word = Window.partitionBy("key")
-    words = found.where("kind = 0").select("chunk", "key", F.sum("n").over(by_word).alias("c"), (F.col("chunk") == F.min("chunk").over(by_word)).alias("first"), "n")
-    words = staged(words, "word-counts")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("c") > 0) & F.col("first"))).first()
+    told = F.min(F.when(F.col("n") > 0, F.col("chunk"))).over(by_word)
+    words = found.where("kind = 0").select("chunk", "key", "n", F.sum("n").over(by_word).alias("c"), told.alias("told"))
+    # a chunk knows its own counts: it needs those that other chunks add to
+    words = staged(words.where("c <> n").withColumn("again", (F.col("n") > 0) & (F.col("told") != F.col("chunk"))).drop("told", "n"), "word-counts")
+    n, trained = found.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    v = trained - words.agg(F.count_if("again")).first()[0]  # each distinct word once
     grams = staged(found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "grams")
     near = F.shiftright("key", 8 * (depth - 1)).alias("near")  # the two nearest bytes of context
     low = grams.groupBy(near).applyInArrow(_summary(depth), "c1 long, node long, n0 double, n1 double, log_w double")
