@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Words in either half of a task's table, characters of text and documents handled at a time.
-TABLE_WORDS, BLOCK_CHARS, BLOCK_DOCS = 250_000, 1_000_000, 500
+TABLE_WORDS, BLOCK_CHARS, BLOCK_DOCS = 400_000, 1_000_000, 500
 #: A run of white space with the word after it. U+001C-001F are spaces to Python only, so they never end a word.
 _SEGMENT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+")
 
@@ -37,6 +38,16 @@ def load_vocabulary(path: str) -> str:
         return f.read()
 
 
+def _piece_bytes(tokenizer) -> np.ndarray:
+    """Bytes that each id of a byte-level vocabulary stands for: a character of a piece is a byte, of a special token itself."""
+    special = {t.content: len(t.content.encode("utf-8")) for t in tokenizer.get_added_tokens_decoder().values()}
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    sizes = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)
+    for piece, i in vocab.items():
+        sizes[i] = special.get(piece, len(piece))
+    return sizes
+
+
 class WordTable:
     """Ids of words, each distinct word encoded once while it is remembered.
 
@@ -53,6 +64,8 @@ class WordTable:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        if keep_space:
+            self.sizes = _piece_bytes(self.tokenizer)
         self.keep_space, self.limit, self.ids, self.old = keep_space, limit, {}, {}
 
     def split(self, text: str) -> list:
@@ -62,22 +75,34 @@ class WordTable:
         done = sum(map(len, words))
         return words if done == len(text) else [*words, text[done:]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [self.split(t) for t in texts]
-        wanted = set().union(*words)
-        if len(self.ids) + len(wanted.difference(self.ids)) > self.limit:
-            self.old, self.ids = self.ids, {}
-        new = []
-        for w in wanted.difference(self.ids):
-            if (known := self.old.get(w)) is None:
-                new.append(w)
-            else:
-                self.ids[w] = known
+    def _add(self, new: list) -> None:
+        """Encode words that the table lacks."""
+        if self.keep_space:
+            # words that start with a space encode alike alone and in a row: pieces' bytes tell where each ends
+            rows = [w for w in new if w[0] in " \n"]
+            new = [w for w in new if w[0] not in " \n"]
+            parts = [rows[i : i + 500] for i in range(0, len(rows), 500)]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.cumsum([len(w.encode("utf-8")) for w in part])
+                cuts = [0, *(np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1).tolist()]
+                packed = ids.tobytes()
+                self.ids.update(zip(part, [packed[4 * x : 4 * y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
         plain = new if self.keep_space else [w.decode("utf-8") for w in new]
         for at in range(0, len(new), 1000):
             for w, e in zip(new[at : at + 1000], self.tokenizer.encode_batch_fast(plain[at : at + 1000], add_special_tokens=False), strict=True):
                 self.ids[w] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        words = [self.split(t) for t in texts]
+        wanted = set(chain.from_iterable(words)).difference(self.ids)
+        if len(self.ids) + len(wanted) > self.limit:
+            self.old, self.ids = self.ids, {}
+            wanted = set(chain.from_iterable(words))
+        again = wanted.intersection(self.old)
+        self.ids.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self._add(list(wanted - again))
         get = self.ids.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
@@ -135,6 +160,18 @@ def id_lists(parts: list[bytes], tail: bytes = b"") -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
+def encoded(batches, vocabulary: str, keep_space: bool, tail: bytes) -> Iterator[tuple[list, pa.Array]]:
+    """Kept columns and ids for Arrow batches whose last column is the text, in blocks."""
+    table = word_table(vocabulary, keep_space)
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_DOCS):
+            part = batch.slice(at, BLOCK_DOCS)
+            texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+            for a, b in blocks(texts):
+                kept = [part.column(i).slice(a, b - a) for i in range(part.num_columns - 1)]
+                yield kept, id_lists(table.encode(texts[a:b]), tail)
+
+
 def encode(df: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", keep_space: bool = False, end_id: int | None = None) -> DataFrame:
     """Columns ``keep`` and the token ids of each whole text.
 
@@ -146,14 +183,8 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[s
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # a file of fixed size
 
     def run(batches):
-        table = word_table(shared.value, keep_space)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_DOCS):
-                part = batch.slice(at, BLOCK_DOCS)
-                texts = [t or "" for t in part.column(len(keep)).to_pylist()]
-                for a, b in blocks(texts):
-                    kept = [part.column(i).slice(a, b - a) for i in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays([*kept, id_lists(table.encode(texts[a:b]), tail)], names=[*keep, ids_col])
+        for kept, ids in encoded(batches, shared.value, keep_space, tail):
+            yield pa.RecordBatch.from_arrays([*kept, ids], names=[*keep, ids_col])
 
     rows = df.select(*keep, text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

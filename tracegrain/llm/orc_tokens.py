@@ -37,15 +37,17 @@ def write(df: DataFrame, vocabulary: str, path: str | None = None, id_col: str =
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
-    def place(batches):
+    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    shared = spark.sparkContext.broadcast(vocabulary)  # a file of fixed size
+
+    def place(batches):  # encodes and numbers in one go
         shard, seq = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(seq, seq + n, dtype=np.int64)), b.column(1)], names=["doc_id", "shard", "seq", "ids"])
+        for (ids,), lists in bpe.encoded(batches, shared.value, keep_space, tail):
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(seq, seq + n, dtype=np.int64)), lists], names=["doc_id", "shard", "seq", "ids"])
             seq += n
 
-    ids = bpe.encode(ordered, vocabulary, "text", ("doc_id",), "ids", keep_space, end_id)
-    out = ids.mapInArrow(place, SCHEMA).write.format("orc")
+    out = ordered.mapInArrow(place, SCHEMA).write.format("orc")
     for key, value in {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP, "orc.create.index": "true", "orc.row.index.stride": ROW_GROUP, "orc.stripe.size": STRIPE_BYTES, "compression": "zstd"}.items():
         out = out.option(key, str(value))
     out.save(path)
