@@ -1 +1 @@
-"""Part of tracegrain."""
+"""Column functions on names and label sequences."""

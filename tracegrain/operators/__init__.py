@@ -1 +1 @@
-"""Part of tracegrain."""
+"""Graph operators: filters, reduction, traversal, features, propagation, ranking, sequences, labels, metrics."""

@@ -1 +1 @@
-"""Part of tracegrain."""
+"""Where graphs, configurations and tables come from and go to."""

@@ -1 +1 @@
-"""Part of tracegrain."""
+"""Streams are not part of this engine yet: every operator is a batch operator."""
