@@ -454,7 +454,7 @@ def event_text_map(spark, d):
     return _texts(spark, d, sequences.event_text_map).select(*EDGE_KEY, F.array_join("texts", "|").alias("texts"))
 
 
-@query("truth_sequences", _with(BASE, PEV) + """, at AS (SELECT e.* FROM edges e SEMI JOIN truth USING (src, dst)), more AS (SELECT n.node AS process, a.src, a.dst, a.key FROM at a JOIN nodes n ON n.type = 'process' AND n.node IN (a.src, a.dst))
+@query("truth_sequences", _with(BASE, PEV) + """, atk AS (SELECT e.* FROM edges e SEMI JOIN truth USING (src, dst)), more AS (SELECT n.node AS process, a.src, a.dst, a.key FROM atk a JOIN nodes n ON n.type = 'process' AND n.node IN (a.src, a.dst))
 SELECT process, src, dst, key, 'plain' AS side FROM pe WHERE process IN (SELECT process FROM more) UNION ALL SELECT process, src, dst, key, 'truth' FROM more
 UNION ALL SELECT process, src, dst, key, 'truth' FROM pe WHERE process IN (SELECT process FROM more)""")
 def truth_sequences(spark, d):
@@ -487,8 +487,10 @@ def label_sequences(spark, d):
 
 
 @query("plain_sequences", _with(BASE, LAB) + """, oth AS (SELECT DISTINCT node FROM (SELECT src AS node FROM own UNION ALL SELECT dst FROM own) WHERE node NOT IN (SELECT node FROM few)
-), al AS (SELECT ' ' || string_agg(step, ' ' ORDER BY start_time, o) AS text FROM own)
-SELECT CAST(3 AS BIGINT) AS combo, node, al.text FROM oth, al WHERE al.text NOT IN (SELECT text FROM al)""")
+), al AS (SELECT ' ' || string_agg(step, ' ' ORDER BY start_time, o) AS text FROM own
+), bth AS (SELECT node, step, start_time, o FROM oth, own UNION ALL SELECT node, step, start_time, o FROM oth JOIN own ON node IN (src, dst)
+), tx AS (SELECT node, ' ' || string_agg(step, ' ' ORDER BY start_time, o) AS text FROM bth GROUP BY node)
+SELECT CAST(3 AS BIGINT) AS combo, node, text FROM tx WHERE text NOT IN (SELECT text FROM al)""")
 def plain_sequences(spark, d):
     g = _graph(spark, d)
     return labels.plain_sequences(g, _few(g))
