@@ -62,8 +62,8 @@ def test_rows_that_hubs_leave_meet_in_blocks(spark, monkeypatch):
 def test_no_ids_repeated_rows_and_no_rows(spark):
     long = " ".join(map(str, range(50)))
     df = spark.createDataFrame([(None, long, 1), (5, long, 2), (5, long, 3), (None, "alone here", 4), (7, None, 5)], "doc_id long, text string, x int")
-    got = sorted((str(r.doc_id), r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
-    assert got == [("5", 5, True), ("5", 5, True), ("7", 7, True), ("None", 5, False), ("None", None, True)]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 5, True), (5, 5, True), (7, 7, True), (None, 5, False), (None, None, True)], key=str)
     kept = minhash.deduplicate(df)
     assert kept.columns == df.columns
     assert sorted(r.text or "" for r in kept.collect()) == sorted([long, "alone here", ""])

@@ -31,6 +31,9 @@ SHINGLE, BANDS, ROWS, SLOTS, SEED = 5, 32, 4, 1 << 21, 71
 NUMERATOR, DENOMINATOR = 75, 100
 #: Rounds of hubs before the rest is compared in blocks, members a task compares with one hub, and rows of a block.
 HUB_ROUNDS, HUB_SHARE, BLOCK = 4, 512, 512
+#: Coordinates, of 128, in which a pair must agree (in their low byte) to be worth comparing in full: at similarity 0.75
+#: fewer agree with a probability of 3e-9, at 0.25 as many never do.
+AGREEING = 68
 #: Stand-ins for null ids lie above every real id.
 STAND_IN = 1 << 62
 _PERMUTATIONS: dict = {}
@@ -72,8 +75,8 @@ def signature(h: np.ndarray) -> np.ndarray:
     return np.minimum.reduce([rank[at[i : i + 4096]].min(0) for i in range(0, len(at), 4096)])
 
 
-def bands(h: np.ndarray) -> np.ndarray:
-    s = signature(h).reshape(BANDS, ROWS).astype(np.uint64)
+def bands(coordinates: np.ndarray) -> np.ndarray:
+    s = coordinates.reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + s[:, i]
@@ -84,17 +87,19 @@ def _sign(batches):
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             b = whole.slice(at, 1000)
-            n, key, sig, ends = [], [], [], [0]
+            n, key, found, marks, ends = [], [], [], [], [0]
             for text in b.column(1).to_pylist():
                 tokens = words(text)
                 h = shingles(tokens)
                 n.append(len(h))
                 key.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+                coordinates = signature(h) if len(h) else None
                 if len(h):
-                    sig.append(bands(h))
+                    found.append(bands(coordinates))
+                marks.append((coordinates & 255).astype(np.uint8).tobytes() if len(h) else b"")
                 ends.append(ends[-1] + (BANDS if len(h) else 0))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sig])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), lists], names=["id", "n", "key", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), lists, pa.array(marks, pa.binary())], names=["id", "n", "key", "bands", "marks"])
 
 
 def _compare(batches):
@@ -133,15 +138,14 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _cross(table: pa.Table) -> pa.Table:
-    """Pairs of different components, by sizes that can still be similar; side 0 meets side 1, or itself."""
+    """Pairs of different components that can be similar by size and signature; side 0 meets side 1."""
     ids, n, comp, side = (table.column(c).to_numpy() for c in ("id", "n", "comp", "side"))
-    a = np.flatnonzero(side == 0)
+    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
     b = np.flatnonzero(side == 1)
     left, right = [], []
-    for i in a:
-        js = b
-        fit = (comp[js] != comp[i]) & (DENOMINATOR * np.minimum(n[js], n[i]) >= NUMERATOR * np.maximum(n[js], n[i]))
-        js = js[fit]
+    for i in np.flatnonzero(side == 0):
+        js = b[(comp[b] != comp[i]) & (DENOMINATOR * np.minimum(n[b], n[i]) >= NUMERATOR * np.maximum(n[b], n[i]))]
+        js = js[(marks[js] == marks[i]).sum(1) >= AGREEING]
         left.append(np.minimum(ids[js], ids[i]))
         right.append(np.maximum(ids[js], ids[i]))
     none = np.zeros(0, np.int64)
@@ -156,11 +160,11 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     """
     by_comp = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
     bucket = by_comp.groupBy("bucket").agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), F.sum("m").alias("all"), (F.sum("m") - F.max("m")).alias("minor")).where("minor > 0")
-    sized = rows.join(bucket, "bucket").select("bucket", "id", "n", "comp", (F.col("comp") != F.col("major")).alias("is_minor"), F.ceil(F.col("minor") / BLOCK).cast("int").alias("x"), F.ceil(F.col("all") / BLOCK).cast("int").alias("y"))
+    sized = rows.join(bucket, "bucket").select("bucket", "id", "n", "comp", "marks", (F.col("comp") != F.col("major")).alias("is_minor"), F.ceil(F.col("minor") / BLOCK).cast("int").alias("x"), F.ceil(F.col("all") / BLOCK).cast("int").alias("y"))
     to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    left = sized.where("is_minor").select("bucket", deal("x").alias("bx"), to("y").alias("by"), "id", "n", "comp", F.lit(0).alias("side"))
-    right = sized.select("bucket", to("x").alias("bx"), deal("y").alias("by"), "id", "n", "comp", F.lit(1).alias("side"))
+    left = sized.where("is_minor").select("bucket", deal("x").alias("bx"), to("y").alias("by"), "id", "n", "comp", "marks", F.lit(0).alias("side"))
+    right = sized.select("bucket", to("x").alias("bx"), deal("y").alias("by"), "id", "n", "comp", "marks", F.lit(1).alias("side"))
     return left.union(right).groupBy("bucket", "bx", "by").applyInArrow(_cross, "hub long, id long").distinct()
 
 
@@ -204,7 +208,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def _components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n (shingles) and c (smallest id of the component) for each row."""
     rows = df.select(node(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
-    signed = staged(rows.mapInArrow(_sign, "id long, n long, key binary, bands array<long>"), "signatures")
+    signed = staged(rows.mapInArrow(_sign, "id long, n long, key binary, bands array<long>, marks binary"), "signatures")
     classes = signed.groupBy("key").agg(F.min(F.struct("id", "n", "bands")).alias("r"))
     reps = classes.select("key", "r.id", "r.n", "r.bands")
     by_bucket = Window.partitionBy("bucket")
@@ -242,7 +246,10 @@ def _components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         comp = staged(components(reduce(DataFrame.union, links)), "near-components")
     else:
         placed = members.join(comp, "id", "left").select("id", "n", "bucket", F.coalesce("comp", "id").alias("comp"))
-        rest = cross_pairs(placed).join(done, ["hub", "id"], "left_anti").join(done.select(F.col("id").alias("hub"), F.col("hub").alias("id")), ["hub", "id"], "left_anti")
+        several = F.min("comp").over(by_bucket) != F.max("comp").over(by_bucket)
+        placed = staged(placed.withColumn("several", several).where("several").drop("several"), "open-buckets")
+        marks = signed.select("id", "marks").join(placed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("marks").alias("marks"))
+        rest = cross_pairs(placed.join(marks, "id")).join(done, ["hub", "id"], "left_anti").join(done.select(F.col("id").alias("hub"), F.col("hub").alias("id")), ["hub", "id"], "left_anti")
         found = staged(confirm(staged(rest, "rest-pairs"), texts), "near-links")
         if not found.isEmpty():
             links.append(found)
