@@ -44,3 +44,19 @@ def test_odd_rows(spark):
     got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(chat.format_windows(df)).collect()}
     assert got == {1: (2, 0), None: (1, 0), 2: (2, 0)}
     assert chat.digests(chat.format_windows(df.limit(0))).count() == 0
+
+
+def test_digests_match_sql(spark):
+    import duckdb
+
+    from tracegrain.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    want = {r[0]: r for r in con.execute(queries.OP9_SQL).fetchall()}
+    rows = queries.op9_chat(spark, sf).collect()
+    assert len(rows) == len(want) and -7 in want
+    for r in rows:
+        assert tuple(r)[:5] == want[r.conv_id]
+        assert r.formatted_chars > 0
