@@ -246,6 +246,46 @@ def _features(depth: int):
     return run
 
 
+#: Values a task packs together before it passes them on.
+PACK_ROWS = 2_000_000
+
+
+def _packed(batches):
+    """(chunk, kind, packed): the keys and values of a task's rows by chunk and kind, sorted, as compressed differences."""
+    held: list[tuple] = []
+    size = 0
+
+    def flush():
+        chunk, kind, key, value = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((key, kind, chunk))
+        chunk, kind, key, value = chunk[order], kind[order], key[order], value[order]
+        starts = np.flatnonzero(np.append(True, (np.diff(chunk) != 0) | (np.diff(kind) != 0)))
+        blobs = []
+        for a, b in zip(starts, np.append(starts[1:], len(chunk)), strict=True):
+            steps = np.diff(key[a:b], prepend=0)
+            blobs.append(pa.compress(steps.tobytes() + value[a:b].astype(np.float64).tobytes(), codec="zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), pa.array(kind[starts]), pa.array(np.diff(np.append(starts, len(chunk)))), pa.array(blobs, pa.binary())], names=["chunk", "kind", "n", "packed"])
+
+    for b in batches:
+        held.append(tuple(c.to_numpy() for c in b.columns))
+        size += b.num_rows
+        if size >= PACK_ROWS:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def _unpacked(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for k, n, blob in zip(table.column("kind").to_pylist(), table.column("n").to_pylist(), table.column("packed"), strict=True):
+        if k == kind:
+            raw = pa.decompress(blob.as_buffer(), decompressed_size=16 * n, codec="zstd")
+            keys.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
+            values.append(np.frombuffer(raw, np.float64, n, 8 * n))
+    return np.concatenate(keys), np.concatenate(values)
+
+
 class Lookup:
     """Values of int64 keys, 0 for others: a table of slots, and a sorted rest for keys that share one."""
 
@@ -282,10 +322,7 @@ def _score(depth: int, n: int, v: int):
     names = [f.split()[0] for f in OUT.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind, key, value = (right.column(c).to_numpy() for c in ("kind", "key", "value"))
-        grams = Lookup(key[kind == 1], value[kind == 1].astype(np.float64))
-        elsewhere = key[kind == 0], value[kind == 0].astype(np.float64)
-        del kind, key, value
+        grams, elsewhere = Lookup(*_unpacked(right, 1)), _unpacked(right, 0)
         out: dict[str, list] = {c: [] for c in names[1:]}
         ids = []
         for blob in left.column("docs"):
@@ -326,6 +363,10 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     if depth < 3:
         raise ValueError("depth is 3 or more")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (~F.coalesce(train, F.lit(False))).alias("held_out"), F.col(text_col).alias("text"))
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
+    parts = df.rdd.getNumPartitions()
+    if parts > (fewer := -(-size // CHUNK) or 1):  # scan tasks below a chunk's size are joined, without a shuffle
+        rows = rows.coalesce(fewer)
     chunks = staged(rows.mapInArrow(_pack, "chunk long, docs binary"), "text-chunks")
     found = staged(chunks.mapInArrow(_features(depth), "chunk long, kind byte, key long, n long"), "features")
     by_word = Window.partitionBy("key")
@@ -341,6 +382,8 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     sums = low.groupBy("c1", "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "log_w")]).toArrow()  # 256 * 255 rows at most
     top = Top(*(sums.column(c).to_numpy() for c in ("c1", "node", "n0", "n1", "log_w")))
     values = grams.groupBy(near).applyInArrow(_values(depth, top), "key long, value double")
-    back = found.where("kind = 1").select("chunk", "key").join(values, "key").select("chunk", F.lit(1).cast("byte").alias("kind"), "key", "value")
-    back = words.select("chunk", F.lit(0).cast("byte").alias("kind"), "key", F.col("c").cast("double").alias("value")).union(back)
+    row = "chunk long, kind byte, n long, packed binary"
+    back = found.where("kind = 1").select("chunk", "kind", "key").join(values, "key").select("chunk", "kind", "key", "value").mapInArrow(_packed, row)
+    known = words.select("chunk", F.lit(0).cast("byte").alias("kind"), "key", F.col("c").cast("double").alias("value")).mapInArrow(_packed, row)
+    back = back.union(known)
     return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_score(depth, n, v), OUT)
