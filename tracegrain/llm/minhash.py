@@ -194,15 +194,11 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     The row of the smallest id stays; of rows that repeat that id, the one with
     the smallest text.
     """
-    own = "__tracegrain_node"
-    stay = _components(df, id_col, text_col).groupBy("id").agg(F.max(F.col("id") == F.col("c")).alias("stays"), F.count(F.lit(1)).alias("m"))
-    stay = staged(stay.where("stays").select(F.col("id").alias(own), "m"), "stay")
-    rows = df.withColumn(own, node(id_col, text_col))
-    once = rows.join(stay.where("m = 1").select(own), own, "left_semi")
-    repeated = rows.join(stay.where("m > 1").select(own), own, "left_semi")
-    at = "__tracegrain_at"
-    first = repeated.withColumn(at, F.row_number().over(Window.partitionBy(own).orderBy(text_col))).where(F.col(at) == 1).drop(at)
-    return once.unionByName(first).drop(own)
+    own, at = "__tracegrain_node", "__tracegrain_at"
+    stay = _components(df, id_col, text_col).where(F.col("id") == F.col("c")).select(F.col("id").alias(own)).distinct()
+    rows = df.withColumn(own, node(id_col, text_col)).join(staged(stay, "stay"), own, "left_semi")
+    first = F.row_number().over(Window.partitionBy(own).orderBy(text_col))  # ids repeat rarely: no shuffle beyond the join's
+    return rows.withColumn(at, first).where(F.col(at) == 1).drop(own, at)
 
 
 def _components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
