@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tracegrain.plans.materialize import staged
 
-#: Bytes of context (at least 3), bytes of a chunk, bytes counted at a time, and slots of a lookup table.
-DEPTH, CHUNK, BLOCK, SLOT_BITS = 5, 64 << 20, 2 << 20, 21
+#: Bytes of context (at least 3), bytes of a chunk, bytes counted at a time, counts merged at a time, and slots of a lookup table.
+DEPTH, CHUNK, BLOCK, MERGE, SLOT_BITS = 5, 64 << 20, 512 << 10, 24, 21
 END = b"\n"
 HALF = np.log(0.5)
 LOG10 = np.log(10)
@@ -235,7 +235,7 @@ def _features(depth: int):
                         for kind, keys in ((0, np.concatenate([word_keys(t) for t in texts])), (1, gram_keys([body(t, depth) for t in texts], depth)[0])):
                             u, n = np.unique(keys, return_counts=True)
                             found[kind].append((u, n if learn else np.zeros_like(n)))
-                            if len(found[kind]) >= 8:
+                            if len(found[kind]) >= MERGE:
                                 found[kind] = _merged(found[kind])
                 for kind, parts in enumerate(found):
                     u, n = _merged(parts)[0]
@@ -328,10 +328,14 @@ def _score(depth: int, n: int, v: int):
         for blob in left.column("docs"):
             doc_id, held, norms = _docs(blob.as_buffer())
             m = len(doc_id)
-            own = [np.unique(np.concatenate([word_keys(t) for t in texts]), return_counts=True) for _, texts in _blocks(norms, np.flatnonzero(~held))]
-            own_keys, own_counts = _merged(own)[0] if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            own = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for _, texts in _blocks(norms, np.flatnonzero(~held)):
+                own.append(np.unique(np.concatenate([word_keys(t) for t in texts]), return_counts=True))
+                own = _merged(own) if len(own) >= MERGE else own
+            own_keys, own_counts = _merged(own)[0]
             alone = ~np.isin(own_keys, elsewhere[0])
             words = Lookup(np.concatenate([elsewhere[0], own_keys[alone]]), np.concatenate([elsewhere[1], own_counts[alone]]))
+            del own, own_keys, own_counts, alone
             tokens, known, base, score, size = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m), np.zeros(m)
             for at, texts in _blocks(norms, np.arange(m)):
                 each = [word_keys(t) for t in texts]
