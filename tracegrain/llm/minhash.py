@@ -30,7 +30,9 @@ SHINGLE, BANDS, ROWS, SLOTS, SEED = 5, 32, 4, 1 << 21, 71
 #: Similarity as numerator over denominator: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Rounds of hubs before the rest is compared in blocks, members a task compares with one hub, and rows of a block.
-HUB_ROUNDS, HUB_SHARE, BLOCK = 4, 512, 512
+HUB_ROUNDS, HUB_SHARE, BLOCK = 3, 512, 512
+#: Rounds in which members outside a bucket's largest component meet only those they agree with most, and how many, before they meet all.
+NEAREST_ROUNDS, NEAREST = 2, 8
 #: Coordinates, of 128, in which a pair must agree (in their low byte) to be worth comparing in full: at similarity 0.75
 #: fewer agree with a probability of 3e-9, at 0.25 as many never do.
 AGREEING = 68
@@ -137,22 +139,25 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_compare, "a long, b long")
 
 
-def _cross(table: pa.Table) -> pa.Table:
-    """Pairs of different components that can be similar by size and signature; side 0 meets side 1."""
+def _cross(table: pa.Table, best: int | None) -> pa.Table:
+    """Pairs of different components that can be similar by size and signature; side 0 meets side 1, or the ``best`` of it."""
     ids, n, comp, side = (table.column(c).to_numpy() for c in ("id", "n", "comp", "side"))
     marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
     b = np.flatnonzero(side == 1)
     left, right = [], []
     for i in np.flatnonzero(side == 0):
         js = b[(comp[b] != comp[i]) & (DENOMINATOR * np.minimum(n[b], n[i]) >= NUMERATOR * np.maximum(n[b], n[i]))]
-        js = js[(marks[js] == marks[i]).sum(1) >= AGREEING]
+        agree = (marks[js] == marks[i]).sum(1)
+        js, agree = js[agree >= AGREEING], agree[agree >= AGREEING]
+        if best is not None:
+            js = js[np.lexsort((ids[js], -agree))[:best]]
         left.append(np.minimum(ids[js], ids[i]))
         right.append(np.maximum(ids[js], ids[i]))
     none = np.zeros(0, np.int64)
     return pa.table({"hub": np.concatenate([none, *left]), "id": np.concatenate([none, *right])})
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
+def cross_pairs(rows: DataFrame, best: int | None = None) -> DataFrame:
     """All pairs of a bucket that lie in different components: (hub, id), each once.
 
     Members outside a bucket's largest component (minor) meet all members, in
@@ -165,7 +170,7 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     left = sized.where("is_minor").select("bucket", deal("x").alias("bx"), to("y").alias("by"), "id", "n", "comp", "marks", F.lit(0).alias("side"))
     right = sized.select("bucket", to("x").alias("bx"), deal("y").alias("by"), "id", "n", "comp", "marks", F.lit(1).alias("side"))
-    return left.union(right).groupBy("bucket", "bx", "by").applyInArrow(_cross, "hub long, id long").distinct()
+    return left.union(right).groupBy("bucket", "bx", "by").applyInArrow(lambda t: _cross(t, best), "hub long, id long").distinct()
 
 
 def node(id_col: str, text_col: str):
@@ -241,15 +246,21 @@ def _components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         links.append(found)
         comp = staged(components(reduce(DataFrame.union, links)), "near-components")
     else:
-        placed = members.join(comp, "id", "left").select("id", "n", "bucket", F.coalesce("comp", "id").alias("comp"))
-        several = F.min("comp").over(by_bucket) != F.max("comp").over(by_bucket)
-        placed = staged(placed.withColumn("several", several).where("several").drop("several"), "open-buckets")
-        marks = signed.select("id", "marks").join(placed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("marks").alias("marks"))
-        rest = cross_pairs(placed.join(marks, "id")).join(done, ["hub", "id"], "left_anti").join(done.select(F.col("id").alias("hub"), F.col("hub").alias("id")), ["hub", "id"], "left_anti")
-        found = staged(confirm(staged(rest, "rest-pairs"), texts), "near-links")
-        if not found.isEmpty():
-            links.append(found)
-    comp = components(reduce(DataFrame.union, links)) if links else None
+        for best in (*(NEAREST,) * NEAREST_ROUNDS, None):
+            placed = members.join(comp, "id", "left").select("id", "n", "bucket", F.coalesce("comp", "id").alias("comp"))
+            several = F.min("comp").over(by_bucket) != F.max("comp").over(by_bucket)
+            placed = staged(placed.withColumn("several", several).where("several").drop("several"), "open-buckets")
+            if placed.isEmpty():
+                break
+            marks = signed.select("id", "marks").join(placed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("marks").alias("marks"))
+            turned = done.select(F.col("id").alias("hub"), F.col("hub").alias("id"))
+            pairs = cross_pairs(placed.join(marks, "id"), best).join(done, ["hub", "id"], "left_anti").join(turned, ["hub", "id"], "left_anti")
+            pairs = staged(pairs, "rest-pairs")
+            done = done.union(pairs)
+            found = staged(confirm(pairs, texts), "near-links")
+            if not found.isEmpty():
+                links.append(found)
+                comp = staged(components(reduce(DataFrame.union, links)), "near-components")
     return _answer(signed, reps.select("key", F.col("id").alias("rep")), comp)
 
 
