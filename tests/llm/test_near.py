@@ -103,6 +103,37 @@ def test_fingerprints_and_edited_texts(spark, tmp_path):
         assert same.setdefault(t or "", r.fingerprint) == r.fingerprint
 
 
+def test_texts_with_few_anchors_keep_half_their_signatures():
+    words = [f"w{i}" for i in range(240)]
+    cells = " | ".join(words)
+    one_spot = " ".join([*words[:100], "the", *words[100:]])
+    last_spot = " ".join([*words, "the", "x", "y", "z"])
+    lists = " ".join(f"{w} und" if i % 40 == 0 else w for i, w in enumerate(words))
+    only_anchors = " ".join(["of the and to in a is"] * 30 + ["x y z"])
+    again = "Ating. " * 160
+    other = " ".join(f"v{i} the" if i % 9 == 0 else f"v{i}" for i in range(240))
+    for text in (cells, one_spot, last_spot, lists, only_anchors, again):
+        edited = text[: len(text) - len(text) // 2] + other[: len(text) // 2]
+        whole, half = spotsigs.signatures(text), spotsigs.signatures(edited)
+        assert spotsigs.likeness(whole, half) > 0.2
+    # an anchor more changes what is near it only
+    assert spotsigs.likeness(spotsigs.signatures(cells), spotsigs.signatures(one_spot)) > 0.9
+
+
+def test_no_stretch_is_without_signatures():
+    rng = random.Random(2)
+    reach = spotsigs.REACH * spotsigs.CHAIN + 1
+    for share in (0.0, 0.01, 0.1, 0.5, 0.9, 1.0):
+        words = [rng.choice(["the", "of", "und"]) if rng.random() < share else f"w{i}" for i in range(400)]
+        base = set(spotsigs.signatures(" ".join(words)).tolist())
+        for at in range(0, 400 - reach, 7):  # a stretch with other words has lost signatures
+            new = [f"n{i}" for i in range(reach)]
+            got = set(spotsigs.signatures(" ".join([*words[:at], *new, *words[at + reach :]])).tolist())
+            assert len(got - base) >= 1
+            assert len(got - base) <= 3 * reach
+            assert base - got
+
+
 def test_next_of_ties_nulls_and_single_rows(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (None, "n"), (2, None)], "doc_id long, text string")
     got = sorted((r.text, r.next_text) for r in spotsigs.with_next(df).collect())

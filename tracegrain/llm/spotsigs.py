@@ -1,7 +1,8 @@
 """Document fingerprints from spot signatures.
 
-A common word (anchor) followed by a chain of content words is a signature; the
-set of a text's signatures, hashed and sorted, is its fingerprint. Two texts are
+A common word (anchor) followed by a chain of content words is a signature, and
+so is a chain of words where no anchor's chain reaches; the set of a text's
+signatures, hashed and sorted, is its fingerprint. Two texts are
 alike as their sets are (Jaccard). For pairs above a threshold, sets are
 partitioned by length: sets whose lengths differ too much can't be similar, so
 a set meets only its own and the next partition, on its rarest signatures, and
@@ -25,6 +26,8 @@ from tracegrain.plans.materialize import staged
 
 #: Content words of a chain, and how many content words apart they are.
 CHAIN, DISTANCE = 3, 1
+#: An anchor's chain may reach this many words for each word of a chain over adjacent words.
+REACH = 4
 # The most common words of English, French, German and Spanish.
 ANCHORS = frozenset(
     "the of and to in a is it that for was on are as with be by at this from or an not "
@@ -39,9 +42,13 @@ STAND_IN = -(1 << 63)
 def signatures(text: str | None, chain: int = CHAIN, distance: int = DISTANCE) -> np.ndarray:
     """Sorted distinct 32-bit signatures.
 
-    A text without a full chain after an anchor takes chains from every word;
-    one with fewer words than a chain is a single signature, and so is a
-    non-empty text without words. The empty text has none.
+    An anchor's chain counts if it ends at most ``REACH`` times a chain's length
+    after it. Each word outside all of these starts a chain over adjacent words
+    (the last words share the last one), so no stretch is without signatures
+    and a word decides on those near it only. A signature's second, third, ...
+    occurrence is a signature of its own, so repeats count. A text with fewer words than a
+    chain is a single signature, and so is a non-empty text without words. The
+    empty text has none.
     """
     if not text:
         return np.zeros(0, np.uint32)
@@ -52,20 +59,27 @@ def signatures(text: str | None, chain: int = CHAIN, distance: int = DISTANCE) -
     anchor = np.fromiter(map(ANCHORS.__contains__, words), bool, len(words))
     span = (chain - 1) * distance
 
-    def chains(starts, content, lead):
-        at = np.searchsorted(content, starts, side="right")
-        fits = at + span < len(content)
-        at, sig = at[fits], lead[fits] if lead is not None else np.full(int(fits.sum()), 7, np.uint64)
+    def chains(sig, at, content):
         for i in range(chain):
             sig = (sig ^ (sig >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[content[at + i * distance]]
         return sig
 
-    spots = np.flatnonzero(anchor)
-    sig = chains(spots, np.flatnonzero(~anchor), h[spots])
-    if not len(sig):
-        sig = chains(np.arange(-1, len(words) - 1), np.arange(len(words)), None)
-    if not len(sig):
+    if len(words) > span:
+        spots, content = np.flatnonzero(anchor), np.flatnonzero(~anchor)
+        at = np.searchsorted(content, spots, side="right")
+        fits = at + span < len(content)
+        spots, at = spots[fits], at[fits]
+        near = content[at + span] - spots <= REACH * chain * distance
+        spots, at = spots[near], at[near]
+        ends = np.bincount(spots, minlength=len(words)) - np.bincount(content[at + span] + 1, minlength=len(words) + 1)[:-1]
+        bare = np.unique(np.minimum(np.flatnonzero(np.cumsum(ends) == 0), len(words) - 1 - span))
+        sig = np.concatenate([chains(h[spots], at, content), chains(np.full(len(bare), 7, np.uint64), bare, np.arange(len(words)))])
+    else:
         sig = np.array([xxhash.xxh3_64_intdigest(" ".join(words))], np.uint64)
+    sig = np.sort(sig)  # repeats are numbered: sets compare as multisets
+    new = np.concatenate([[True], sig[1:] != sig[:-1]])
+    times = np.arange(len(sig)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    sig = sig + times.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     sig = (sig ^ (sig >> np.uint64(33))) * np.uint64(0xD6E8FEB86659FD93)
     return np.unique((sig >> np.uint64(32)).astype(np.uint32))
 
