@@ -390,6 +390,47 @@ def root_entries(spark, d):
     return ranking.root_entries(b, scored)
 
 
+# The six queries above stop after K simultaneous rounds, as their SQL does. These run the whole propagation:
+# the sequential definition, which has no SQL.
+def _full(spark, d):
+    b, poi, truth = _back(spark, d)
+    scored = inv.score(b, poi, compat=True)
+    return b, staged(scored.withColumn("score", F.round("score", 8)), "full-scores"), truth
+
+
+@query("propagate_full")
+def propagate_full(spark, d):
+    return _full(spark, d)[1].select("node", "score")
+
+
+@query("rank_by_type_full")
+def rank_by_type_full(spark, d):
+    return ranking.rank_by_type(_full(spark, d)[1])
+
+
+@query("seeds_topn_full")
+def seeds_topn_full(spark, d):
+    return ranking.seeds(ranking.rank_by_type(_full(spark, d)[1]))
+
+
+@query("seed_sweep_full")
+def seed_sweep_full(spark, d):
+    b, scored, truth = _full(spark, d)
+    return inv.sweep(b, ranking.rank_by_type(scored), truth)
+
+
+@query("entry_ranking_full")
+def entry_ranking_full(spark, d):
+    b, scored, _ = _full(spark, d)
+    return ranking.rank_entries(b, scored)
+
+
+@query("root_entries_full")
+def root_entries_full(spark, d):
+    b, scored, _ = _full(spark, d)
+    return ranking.root_entries(b, scored)
+
+
 PEV = """, pe AS (SELECT n.node AS process, n.node_ord, e.* FROM nodes n JOIN edges e ON n.node = e.src OR n.node = e.dst WHERE n.type = 'process')"""
 SES = PEV + """
 , gaps AS (SELECT *, coalesce(CAST(start_time - lag(start_time) OVER (PARTITION BY process ORDER BY start_time, o) >= 3600000 AS BIGINT), 0) AS g FROM pe
