@@ -34,7 +34,7 @@ HUB_ROUNDS, HUB_SHARE, BLOCK = 3, 512, 512
 #: Rounds in which members outside a bucket's largest component meet only those they agree with most, and how many, before they meet all.
 NEAREST_ROUNDS, NEAREST = 2, 8
 #: Coordinates, of 128, in which a pair must agree (in their low byte) to be worth comparing in full: at similarity 0.75
-#: fewer agree with a probability of 3e-9, at 0.25 as many never do.
+#: fewer agree with a probability of 2.6e-8, at 0.25 as many never do.
 AGREEING = 68
 #: Stand-ins for null ids lie above every real id.
 STAND_IN = 1 << 62
