@@ -59,8 +59,9 @@ def propagate(graph: ProvGraph, weighted: DataFrame, poi: Poi) -> DataFrame:
     """Nodes with ``score``, in the sequential definition; a graph is one task.
 
     The order of updates is part of the definition, so one graph's scores can't
-    be dealt out; several graphs run side by side. For graphs beyond a task, see
-    ``propagate_rounds``.
+    be dealt out; several graphs run side by side. A breadth-first start of over
+    ``POP_LIMIT`` visits, repeats counted, is an error. For graphs beyond a task,
+    see ``propagate_rounds``, whose values differ.
     """
     pairs = pair_weights(weighted).select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "w", F.col("pair_ord").alias("at"))
     nodes = graph.nodes.select(F.lit("node").alias("kind"), F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("w"), F.col("node_ord").alias("at"))
