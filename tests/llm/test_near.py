@@ -3,8 +3,10 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
-from pyspark.sql import functions as F
+import pyarrow as pa
+import pytest
 
 from tracegrain.llm import components, minhash, queries, spotsigs
 
@@ -43,31 +45,85 @@ def plain_components(rows):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
+def found(df):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+
+
 def test_groups_match_all_pairs(spark):
     rows = list(enumerate(texts()))
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, comp string, n int")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
-    assert got == plain_components(rows)
+    assert found(df) == plain_components(rows)
 
 
-def test_rows_that_hubs_leave_meet_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "HUB_ROUNDS", 1)
+@pytest.mark.parametrize(("rounds", "block"), [(0, 2048), (0, 3), (1, 5)])
+def test_rows_that_hubs_leave_meet_in_blocks(spark, monkeypatch, rounds, block):
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rows = list(enumerate(texts(9)))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == plain_components(rows)
+
+
+def test_texts_alike_below_the_threshold_make_no_rows_of_pairs(spark):
+    rng, passage = random.Random(5), [f"p{i}" for i in range(120)]
+    rows = [(i, " ".join([*passage, *[f"x{rng.randrange(10**6)}" for _ in range(45)]])) for i in range(150)]
+    rows += [(150, rows[0][1] + " more")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
-    assert got == plain_components(rows)
+    want = plain_components(rows)
+    assert len({c for _, c, _ in want.values()}) == 150
+    assert found(df) == want
+
+
+def test_blocks_pass_on_spanning_forests():
+    rng = random.Random(3)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(99)) for _ in range(300)]
+    docs = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(40)] + [" ".join(rng.sample(base, 300)) for _ in range(10)]
+    n = len(docs)
+    sets = [minhash.shingles(minhash.word_hashes(t)[0]) for t in docs]
+    marks = [(minhash.signature(s) & 255).astype(np.uint8).tobytes() for s in sets]
+    side = {"bucket": [1] * n, "bx": [0] * n, "by": [0] * n, "node": range(n), "n": [len(s) for s in sets], "comp": range(n), "minor": [True] * n, "marks": marks, "text": docs}
+    table = pa.concat_tables([pa.table({**side, "side": [s] * n}) for s in (0, 1)])
+    links = minhash._linked(table).to_pylist()
+    assert len(links) == 39  # 780 pairs are similar
+    assert all(len(np.intersect1d(sets[x["a"]], sets[x["b"]])) * 4 >= 3 * len(np.union1d(sets[x["a"]], sets[x["b"]])) for x in links)
+    rows = [minhash._survivors(table).to_pydict()["node"]]
+    assert set(rows[0]) == set(range(40))
 
 
 def test_no_ids_repeated_rows_and_no_rows(spark):
     long = " ".join(map(str, range(50)))
-    df = spark.createDataFrame([(None, long, 1), (5, long, 2), (5, long, 3), (None, "alone here", 4), (7, None, 5)], "doc_id long, text string, x int")
+    df = spark.createDataFrame([(None, long, 1), (5, long, 2), (5, long, 3), (None, "alone here", 4), (7, None, 5), (5, "another text", 6), (None, "", 7), (None, "", 8)], "doc_id long, text string, x int")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=str)
-    assert got == sorted([(5, 5, True), (5, 5, True), (7, 7, True), (None, 5, False), (None, None, True)], key=str)
+    assert got == sorted([(5, 5, True), (5, 5, True), (5, 5, True), (7, 7, True), (None, 5, False), (None, None, True), (None, None, True), (None, None, True)], key=str)
     kept = minhash.deduplicate(df)
     assert kept.columns == df.columns
-    assert sorted(r.text or "" for r in kept.collect()) == sorted([long, "alone here", ""])
+    assert sorted(r.text or "" for r in kept.collect()) == sorted([long, "alone here", "another text", "", "", ""])
     assert minhash.near_duplicates(df.limit(0)).count() == 0
+    assert minhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_any_long_is_an_id(spark):
+    text = " ".join(map(str, range(40)))
+    ids = [-(1 << 63), (1 << 62) + 5, (1 << 62) + 9, (1 << 63) - 1]
+    df = spark.createDataFrame([(ids[1], text), (ids[2], text + " end"), (ids[0], "other words"), (ids[3], "other  Words")], "doc_id long, text string")
+    assert found(df) == {ids[0]: (1, ids[0], True), ids[1]: (36, ids[1], True), ids[2]: (37, ids[1], False), ids[3]: (1, ids[0], False)}
+
+
+def test_a_very_long_text_is_read_in_pieces(monkeypatch):
+    text = " ".join(f"Wort{i}\t" for i in range(5000)) + " " + "x" * 9000
+    whole = minhash.word_hashes(text)
+    monkeypatch.setattr(minhash, "PIECE", 100)
+    pieces = minhash.word_hashes(text)
+    assert whole[1] == pieces[1] and (whole[0] == pieces[0]).all() and len(whole[0]) == 5001
+
+
+def test_groups_equal_the_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = queries.op7_minhash(spark, sf)
+    want = con.execute(queries.OP7_SQL).df().sort_values("doc_id").reset_index(drop=True)
+    assert got.toPandas().sort_values("doc_id").reset_index(drop=True)[want.columns].equals(want)
 
 
 def test_signatures_estimate_similarity():
