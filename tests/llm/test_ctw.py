@@ -3,6 +3,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tracegrain.llm import ctw, queries
@@ -81,7 +83,7 @@ def test_scores_match_the_recursive_tree(spark, depth):
         assert r.score == pytest.approx(tree.log10(bodies[i]), rel=1e-8)
 
 
-def test_probabilities_add_up():
+def test_probabilities_add_up(monkeypatch):
     """Over all 256 bytes, whatever the context."""
     rng = np.random.default_rng(0)
     data = [ctw.body(bytes(rng.choice(list(b"ab c"), 50)), 4) for _ in range(5)]
@@ -90,25 +92,88 @@ def test_probabilities_add_up():
     keys, _ = ctw.gram_keys(data, 4)
     asked, _ = ctw.gram_keys(every, 4)
     allkeys, inverse = np.unique(np.concatenate([keys, asked]), return_inverse=True)
-    counts = np.bincount(inverse[: len(keys)], minlength=len(allkeys)).astype(float)
-    low = [(k >> (8 * 3), ctw.subtree(allkeys[allkeys >> 24 == k], counts[allkeys >> 24 == k], 4)[-1]) for k in np.unique(allkeys >> 24)]
-    parts = [np.concatenate([getattr(x, f) for _, x in low]) for f in ("nodes", "n0", "n1", "log_w")]
-    key = np.stack([parts[0] >> 16, parts[0] & 255])
-    sums = {}
-    for j in range(key.shape[1]):
-        s = sums.setdefault(tuple(key[:, j]), np.zeros(3))
-        s += [parts[1][j], parts[2][j], parts[3][j]]
-    cols = np.array([(*k, *v) for k, v in sums.items()])
-    top = ctw.Top(cols[:, 0].astype(int), cols[:, 1].astype(int), *cols[:, 2:].T)
-    total = 0.0
-    import pyarrow as pa
-
-    for k in np.unique(asked >> 24):
-        mine = allkeys >> 24 == k
-        t = ctw._values(4, top)(pa.table({"key": allkeys[mine], "n": counts[mine].astype(np.int64)}))
-        v = dict(zip(t.column("key").to_pylist(), t.column("value").to_pylist(), strict=True))
-        total += sum(10 ** v[x] for x in asked[asked >> 24 == k])
-    assert total == pytest.approx(1)
+    counts = np.bincount(inverse[: len(keys)], minlength=len(allkeys))
+    near = allkeys >> 16
+    low = pa.Table.from_batches(ctw._summary(4)([pa.record_batch({"near": near, "key": allkeys, "n": counts})])).to_pandas()
+    low = low.groupby(["c2", "node"], as_index=False).sum()
+    second = next(iter(ctw._second([pa.RecordBatch.from_pandas(low)]))).to_pandas()
+    first = second.assign(c1=second.c2 // 256).groupby(["c1", "node"], as_index=False)[["n0", "n1", "log_w"]].sum()
+    top = ctw.Top(*(first[c].to_numpy() for c in ("c1", "node", "n0", "n1", "log_w")))
+    nodes = pd.DataFrame({"near": np.unique(near)}).assign(c2=lambda x: x.near // 256).merge(second, on="c2")
+    nodes = pd.DataFrame({"near": nodes.near, "kind": 0, "key": nodes.node, "n0": nodes.n0, "n1": nodes.n1, "share": nodes.share})
+    rows = pd.concat([nodes, pd.DataFrame({"near": near, "kind": 1, "key": allkeys, "n0": counts.astype(float), "n1": 0.0, "share": 0.0})]).sort_values(["near", "kind", "key"])
+    found = {}
+    for size in (1, 7, 10**6):  # however the rows are cut
+        ctw_rows = [pa.RecordBatch.from_pandas(rows.iloc[i : i + size], preserve_index=False) for i in range(0, len(rows), size)]
+        monkeypatch.setattr(ctw, "SOLVE_ROWS", size)
+        v = pa.Table.from_batches(ctw._values(4, top)(ctw_rows))
+        found[size] = dict(zip(v.column("key").to_pylist(), v.column("value").to_pylist(), strict=True))
+    assert found[1] == pytest.approx(found[7])
+    assert found[1] == pytest.approx(found[10**6])
+    assert sum(10 ** found[7][x] for x in asked) == pytest.approx(1)
+
+
+def test_long_texts_and_small_chunks(spark, monkeypatch):
+    """Pieces, parts and chunks of any size give the same scores."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["ab", "cd", "é", "the", "x" * 50], 400)) for _ in range(12)] + ["", None, "  \n "]
+    df = spark.createDataFrame([(i, t, 1, "c") for i, t in enumerate(texts)], "doc_id long, text string, key int, chunk string").repartition(2)
+    want = sorted(ctw.score(df, queries.fold(7) != 2).collect(), key=lambda r: r.doc_id)
+    assert [r.n_tokens for r in want] == [len((t or "").split()) + 1 for t in texts]
+    rows = df.select("doc_id", (queries.fold(7) == 2).alias("held_out"), "text")
+    for chunk, part, block in ((3000, 700, 90), (10**9, 500, 64)):
+        for name, value in (("CHUNK", chunk), ("PART", part), ("BLOCK", block)):
+            monkeypatch.setattr(ctw, name, value)
+        packed = pa.Table.from_batches(run_in_process(ctw._pack(5, 1), [pa.RecordBatch.from_pandas(rows.toPandas(), preserve_index=False)]))
+        stream = [r for r in packed.to_pylist() if r["kind"] <= ctw.TEXTS]
+        assert (len({r["chunk"] for r in stream}) == 1) == (chunk == 10**9)
+        grams = {}
+        for r in packed.to_pylist():
+            if r["kind"] == ctw.GRAM:
+                grams[r["key"]] = grams.get(r["key"], 0) + r["n"]
+        whole = [ctw.body(ctw.normal(t), 5) for i, t in enumerate(texts) if not held(i)]
+        keys, n = np.unique(ctw.gram_keys(whole, 5)[0], return_counts=True)
+        assert {k: c for k, c in grams.items() if c} == dict(zip(keys.tolist(), n.tolist(), strict=True))
+
+
+def run_in_process(f, batches):
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    before, ctw.TaskContext = ctw.TaskContext, Context
+    try:
+        return list(f(batches))
+    finally:
+        ctw.TaskContext = before
+
+
+def test_scores_do_not_depend_on_pieces():
+    rng = np.random.default_rng(2)
+    text = " ".join(rng.choice(["ab", "cd", "ef", "é"], 500))
+    keys = np.unique(ctw.gram_keys([ctw.body(ctw.normal(text))])[0])
+    words = np.unique(ctw.word_keys(ctw.entries(text)[0][1], True))
+    parts = {ctw.OWN: [(words, np.ones(len(words)))], ctw.WORDS: [], ctw.GRAMS: [(keys, -1.0 - (keys % 97) / 100)]}
+    got = []
+    for block in (10**6, 50, 333):
+        before, ctw.BLOCK = ctw.BLOCK, block
+        try:
+            chunk, blobs = ctw._Chunk(0, 5), []
+            for i in range(3):
+                blobs += list(chunk.add(i, False, text))
+            blobs.append(chunk._texts())
+            scorer = ctw._Scorer(5, 10, 5, parts)
+            got.append([tuple(r.values()) for b in blobs for out in scorer(b.column(5)[0]) for r in out.to_pylist()])
+        finally:
+            ctw.BLOCK = before
+    for x in got:
+        assert [r[:5] for r in x] == [(i, False, 501, 501, 10) for i in range(3)]
+        assert np.array([r[5:] for r in x]) == pytest.approx(np.array([r[5:] for r in got[0]]))
 
 
 def test_no_rows_and_no_training(spark):

@@ -8,12 +8,15 @@ Texts are lower-cased (A-Z), words are each followed by a blank, and a text ends
 with a line feed; before its start there are line feeds only. So the score is
 the probability of the token sequence.
 
-Texts are packed into compressed chunks once. A chunk passes on its distinct
-n-grams (context and byte) and words with their training counts; the corpus adds
-them up, the tree is solved per two-byte context, and each chunk gets back the
-values of its own n-grams and words. Nothing that grows with the corpus is
-broadcast: the part of the tree that every task needs (contexts of at most one
-byte) has 256 * 255 nodes for any corpus.
+Texts are packed into compressed chunks once, in pieces, so a very long text is
+never a block of its own. A chunk passes on its distinct n-grams (context and
+byte) and words with their training counts; the corpus adds them up. Nodes with
+three or more bytes of context are solved where the three nearest bytes are
+equal: at most 256 ** (depth - 2) n-grams, whatever the corpus. Their sums give
+the nodes with two bytes (256 ** 2 * 255 at most), and those the rest of the
+tree, 256 * 255 nodes, the only part that reaches the driver and all tasks. Each
+chunk gets back the values of its own n-grams and words as one sorted stream:
+values first, then its texts.
 """
 
 from __future__ import annotations
@@ -27,10 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegrain.plans.materialize import staged
+from tracegrain.llm.pieces import cut
+from tracegrain.plans.materialize import dropped, staged
 
-#: Bytes of context (at least 3), bytes of a chunk, bytes counted at a time, counts merged at a time, and slots of a lookup table.
-DEPTH, CHUNK, BLOCK, MERGE, SLOT_BITS = 5, 64 << 20, 512 << 10, 24, 21
+#: Bytes of context (at least 3), bytes of a chunk, bytes counted at a time, bytes packed at a time, counts merged at a time, and slots of a lookup table.
+DEPTH, CHUNK, BLOCK, PART, MERGE, SLOT_BITS = 5, 64 << 20, 512 << 10, 4 << 20, 24, 21
+#: N-grams solved at a time (more only where the three nearest bytes are equal), and values packed at a time.
+SOLVE_ROWS, PACK_ROWS = 200_000, 500_000
+#: Kinds of a chunk's rows, in the order of its stream: training counts of its own words, counts of words that others have too,
+#: values of n-grams, texts; and what it passes on: words and n-grams.
+OWN, WORDS, GRAMS, TEXTS, WORD, GRAM = range(6)
 END = b"\n"
 HALF = np.log(0.5)
 LOG10 = np.log(10)
@@ -59,9 +68,17 @@ def gram_keys(bodies: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.n
     return key, owner[at]
 
 
-def word_keys(norm: bytes) -> np.ndarray:
-    """Hashes of a text's tokens: its words, then the end."""
-    tokens = [*norm.split(b" "), END] if norm else [END]
+def entries(text: str | None) -> list[tuple[bool, bytes]]:
+    """What is coded for a text, in pieces: (is the last one, bytes)."""
+    parts = [b" ".join([*words, b""]) for piece in cut((text or "").encode("utf-8").lower(), BLOCK) if (words := piece.split())]
+    return [(False, p) for p in parts[:-1]] + [(True, (parts[-1] if parts else b"") + END)]
+
+
+def word_keys(entry: bytes, last: bool) -> np.ndarray:
+    """Hashes of the tokens in a piece: its words, then the end after the last piece."""
+    tokens = entry.split()
+    if last:
+        tokens.append(END)
     return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)).view(np.int64)
 
 
@@ -112,9 +129,9 @@ class Level:
 
 
 def subtree(keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> list[Level]:
-    """The levels from ``depth`` up to two bytes of context."""
+    """The levels from ``depth`` up to three bytes of context."""
     levels: list[Level] = []
-    for at in range(depth, 1, -1):
+    for at in range(depth, 2, -1):
         levels.append(Level(keys, counts, depth, at, levels[-1] if levels else None))
     return levels
 
@@ -144,76 +161,93 @@ class Top:
         return np.log(p).sum(0)
 
 
-def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = table.column("key").to_numpy(), table.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order].astype(np.float64)
+def _by_near(depth: int, kernel):
+    """Runs ``kernel`` on about ``SOLVE_ROWS`` rows at a time; rows come sorted, those with equal three nearest bytes stay together."""
+
+    def run(batches):
+        held: list[tuple] = []
+        size = 0
+        for b in batches:
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
+            size += b.num_rows
+            if size < SOLVE_ROWS:
+                continue
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            end = np.searchsorted(rows[0], rows[0][-1])  # the last group may go on
+            if end:
+                yield kernel(*(c[:end] for c in rows))
+            held, size = [tuple(c[end:].copy() for c in rows)], size - end
+        if size:
+            yield kernel(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
+
+
+def _batch(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
 def _summary(depth: int):
-    def run(table: pa.Table) -> pa.Table:
-        low = subtree(*_sorted(table), depth)[-1]
-        return pa.table({"c1": low.nodes >> 16, "node": low.nodes & 255, "n0": low.n0, "n1": low.n1, "log_w": low.log_w})
+    """(near, key, n), sorted: sums over the third byte for the nodes with two bytes of context, as far as the rows go."""
 
-    return run
+    def kernel(near, key, n):
+        low = subtree(key, n.astype(np.float64), depth)[-1]
+        node, of = np.unique((low.nodes >> 16 << 8) | (low.nodes & 255), return_inverse=True)
+        add = lambda x: np.bincount(of, x, len(node))
+        return _batch({"c2": node >> 8, "node": node & 255, "n0": add(low.n0), "n1": add(low.n1), "log_w": add(low.log_w)})
+
+    return _by_near(depth, kernel)
+
+
+SECOND = "c2 long, node long, n0 double, n1 double, log_w double, share double"
+
+
+def _second(batches):
+    """The nodes with two bytes of context, from sums over those with three."""
+    for b in batches:
+        c2, node, n0, n1, children = (c.to_numpy() for c in b.columns)
+        log_e = log_kt(n0, n1)
+        log_w = mixed(log_e, children)
+        yield _batch({"c2": c2, "node": node, "n0": n0, "n1": n1, "log_w": log_w, "share": np.exp(np.minimum(HALF + log_e - log_w, 0))})
 
 
 def _values(depth: int, top: Top):
-    def run(table: pa.Table) -> pa.Table:
-        keys, counts = _sorted(table)
+    """(near, kind, key, n0, n1, share), sorted: nodes with two bytes of context (kind 0), then n-grams (1, counts in n0)."""
+
+    def kernel(near, kind, key, n0, n1, share):
+        second, gram = kind == 0, kind == 1
+        at, own = np.unique((near[second] >> 8 << 8) | key[second], return_index=True)
+        n0_2, n1_2, share_2 = (c[second][own] for c in (n0, n1, share))
+        keys = key[gram]
         p = None
-        for level in subtree(keys, counts, depth):
+        for level in subtree(keys, n0[gram], depth):
             p = level.kt() if p is None else level.share[level.of] * level.kt() + (1 - level.share[level.of]) * p
-        return pa.table({"key": keys, "value": top.mix(keys >> (8 * depth), keys & 255, p) / LOG10})
+        byte, bit = keys & 255, np.arange(8)[:, None]
+        node, ones = (1 << bit) | (byte >> (8 - bit)), (byte >> (7 - bit)) & 1
+        i = np.searchsorted(at, (keys >> (8 * depth - 8) << 8) | node)
+        kt = (np.where(ones == 1, n1_2[i], n0_2[i]) + 0.5) / (n0_2[i] + n1_2[i] + 1)
+        p = share_2[i] * kt + (1 - share_2[i]) * p
+        return _batch({"key": keys, "value": top.mix(keys >> (8 * depth), byte, p) / LOG10})
 
-    return run
+    return _by_near(depth, kernel)
 
 
-def _pack(batches):
-    """Chunks of about ``CHUNK`` bytes of texts, compressed."""
-    part, n = TaskContext.get().partitionId(), 0
-    ids, held, texts, size = [], [], [], 0
+ROW = "chunk long, kind byte, seq int, key long, n long, packed binary"
+
+
+def _row(chunk, kind, seq, n, packed) -> pa.RecordBatch:
+    one = lambda x, t: pa.array([x], t)
+    return pa.RecordBatch.from_arrays([one(chunk, pa.int64()), one(kind, pa.int8()), one(seq, pa.int32()), one(None, pa.int64()), one(n, pa.int64()), one(packed, pa.binary())], names=["chunk", "kind", "seq", "key", "n", "packed"])
 
-    def chunk():
-        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "norm": pa.array(texts, pa.large_binary())})
-        sink = io.BytesIO()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
-            w.write_table(table)
-        return pa.RecordBatch.from_arrays([pa.array([(part << 24) + n]), pa.array([sink.getvalue()], pa.binary())], names=["chunk", "docs"])
-
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            for i, h, t in zip(*(c.to_pylist() for c in whole.slice(at, 500).columns), strict=True):
-                norm = normal(t)
-                ids.append(i)
-                held.append(h)
-                texts.append(norm)
-                size += len(norm) + 50
-                if size >= CHUNK:
-                    yield chunk()
-                    n += 1
-                    ids, held, texts, size = [], [], [], 0
-    if ids:
-        yield chunk()
-
-
-def _docs(blob: bytes):
-    t = pa.ipc.open_stream(blob).read_all()
-    return t.column("doc_id"), t.column("held_out").to_numpy(), t.column("norm")
-
-
-def _blocks(norms, use: np.ndarray):
-    """Runs of the texts in ``use`` with about ``BLOCK`` bytes: indexes and texts."""
-    at, texts, size = [], [], 0
-    for i in use:
-        at.append(i)
-        texts.append(norms[int(i)].as_py())
-        size += len(texts[-1]) + 8
-        if size >= BLOCK:
-            yield at, texts
-            at, texts, size = [], [], 0
-    if at:
-        yield at, texts
+
+def _blob(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted keys as differences, and values, compressed."""
+    return pa.compress(np.diff(keys, prepend=0).tobytes() + values.astype(np.float64).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unblob(n: int, blob) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.decompress(blob.as_buffer(), decompressed_size=16 * n, codec="zstd")
+    return np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.float64, n, 8 * n)
 
 
 def _merged(parts: list) -> list:
@@ -222,36 +256,92 @@ def _merged(parts: list) -> list:
     return [(u, np.bincount(inverse, counts, len(u)).astype(np.int64))]
 
 
-def _features(depth: int):
-    """(chunk, kind, key, n): distinct words (kind 0) and n-grams (1) with training counts."""
+class _Chunk:
+    """Rows of one chunk as its texts pass: packed texts, then its words and n-grams with training counts."""
+
+    def __init__(self, chunk: int, depth: int):
+        self.chunk, self.depth, self.seq, self.size = chunk, depth, 0, 0
+        self.rows: list[tuple] = []
+        self.held = 0
+        self.block: dict[bool, tuple[list, list]] = {x: ([], []) for x in (True, False)}
+        self.waiting = {True: 0, False: 0}
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.found: dict[int, list] = {WORD: [none], GRAM: [none]}
+
+    def add(self, doc_id, held_out: bool, text: str | None):
+        tail = END * self.depth
+        for last, entry in entries(text):
+            self.rows.append((doc_id, held_out, last, entry))
+            self.held += len(entry)
+            words, grams = self.block[not held_out]
+            words.append((entry, last))
+            grams.append(tail + entry)
+            tail = grams[-1][-self.depth :]
+            self.waiting[not held_out] += len(entry) + 8
+            if self.waiting[not held_out] >= BLOCK:
+                self._count(not held_out)
+            if self.held >= PART:
+                yield self._texts()
+        self.size += len(text or "") + 50
+
+    def _count(self, learn: bool) -> None:
+        words, grams = self.block[learn]
+        if words:
+            for kind, keys in ((WORD, np.concatenate([word_keys(*w) for w in words])), (GRAM, gram_keys(grams, self.depth)[0])):
+                u, n = np.unique(keys, return_counts=True)
+                self.found[kind].append((u, n if learn else np.zeros_like(n)))
+                if len(self.found[kind]) >= MERGE:
+                    self.found[kind] = _merged(self.found[kind])
+        self.block[learn], self.waiting[learn] = ([], []), 0
+
+    def _texts(self) -> pa.RecordBatch:
+        ids, held, last, entry = zip(*self.rows, strict=True)
+        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "last": pa.array(last, pa.bool_()), "entry": pa.array(entry, pa.large_binary())})
+        sink = io.BytesIO()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
+            w.write_table(table)
+        self.rows, self.held, self.seq = [], 0, self.seq + 1
+        return _row(self.chunk, TEXTS, self.seq, len(ids), sink.getvalue())
+
+    def close(self):
+        if self.rows:
+            yield self._texts()
+        for learn in (True, False):
+            self._count(learn)
+        for kind in (WORD, GRAM):
+            u, n = _merged(self.found.pop(kind))[0]
+            if kind == WORD:
+                yield _row(self.chunk, OWN, 0, int((n > 0).sum()), _blob(u[n > 0], n[n > 0]))
+            for i in range(0, len(u), 100_000):
+                m = len(u[i : i + 100_000])
+                nulls = [pa.nulls(m, t) for t in (pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, self.chunk)), pa.array(np.full(m, kind, np.int8)), nulls[0], pa.array(u[i : i + m]), pa.array(n[i : i + m]), nulls[1]], names=["chunk", "kind", "seq", "key", "n", "packed"])
+
+
+def _pack(depth: int, parts: int):
+    """The rows of chunks of about ``CHUNK`` bytes of text; the n-th chunk of task p has the number p + n * parts."""
 
     def run(batches):
-        for batch in batches:
-            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, held, norms = _docs(blob.as_buffer())
-                found: list[list] = [[], []]
-                for learn in (True, False):
-                    for _, texts in _blocks(norms, np.flatnonzero(held != learn)):
-                        for kind, keys in ((0, np.concatenate([word_keys(t) for t in texts])), (1, gram_keys([body(t, depth) for t in texts], depth)[0])):
-                            u, n = np.unique(keys, return_counts=True)
-                            found[kind].append((u, n if learn else np.zeros_like(n)))
-                            if len(found[kind]) >= MERGE:
-                                found[kind] = _merged(found[kind])
-                for kind, parts in enumerate(found):
-                    u, n = _merged(parts)[0]
-                    for i in range(0, len(u), 100_000):
-                        m = len(u[i : i + 100_000])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(np.full(m, kind, np.int8)), pa.array(u[i : i + m]), pa.array(n[i : i + m])], names=["chunk", "kind", "key", "n"])
+        number = TaskContext.get().partitionId()
+        chunk = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    if chunk is None:
+                        chunk = _Chunk(number, depth)
+                    yield from chunk.add(i, h, t.as_py())
+                    if chunk.size >= CHUNK:
+                        yield from chunk.close()
+                        chunk, number = None, number + parts
+        if chunk is not None:
+            yield from chunk.close()
 
     return run
 
 
-#: Values a task packs together before it passes them on.
-PACK_ROWS = 2_000_000
-
-
 def _packed(batches):
-    """(chunk, kind, packed): the keys and values of a task's rows by chunk and kind, sorted, as compressed differences."""
+    """Keys and values of a task's rows (chunk, kind, key, value), packed by chunk and kind."""
     held: list[tuple] = []
     size = 0
 
@@ -260,30 +350,17 @@ def _packed(batches):
         order = np.lexsort((key, kind, chunk))
         chunk, kind, key, value = chunk[order], kind[order], key[order], value[order]
         starts = np.flatnonzero(np.append(True, (np.diff(chunk) != 0) | (np.diff(kind) != 0)))
-        blobs = []
         for a, b in zip(starts, np.append(starts[1:], len(chunk)), strict=True):
-            steps = np.diff(key[a:b], prepend=0)
-            blobs.append(pa.compress(steps.tobytes() + value[a:b].astype(np.float64).tobytes(), codec="zstd", asbytes=True))
-        return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), pa.array(kind[starts]), pa.array(np.diff(np.append(starts, len(chunk)))), pa.array(blobs, pa.binary())], names=["chunk", "kind", "n", "packed"])
+            yield _row(int(chunk[a]), int(kind[a]), 0, int(b - a), _blob(key[a:b], value[a:b]))
 
     for b in batches:
         held.append(tuple(c.to_numpy() for c in b.columns))
         size += b.num_rows
         if size >= PACK_ROWS:
-            yield flush()
+            yield from flush()
             held, size = [], 0
     if size:
-        yield flush()
-
-
-def _unpacked(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, values = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for k, n, blob in zip(table.column("kind").to_pylist(), table.column("n").to_pylist(), table.column("packed"), strict=True):
-        if k == kind:
-            raw = pa.decompress(blob.as_buffer(), decompressed_size=16 * n, codec="zstd")
-            keys.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
-            values.append(np.frombuffer(raw, np.float64, n, 8 * n))
-    return np.concatenate(keys), np.concatenate(values)
+        yield from flush()
 
 
 class Lookup:
@@ -318,39 +395,70 @@ class Lookup:
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
+NAMES = [f.split()[0] for f in OUT.split(", ")]
+
+
+class _Scorer:
+    """Scores the texts of one chunk as they pass, after the values of its n-grams and words."""
+
+    def __init__(self, depth: int, n: int, v: int, parts: dict[int, list]):
+        self.depth, self.n, self.v = depth, n, v
+        own, others, grams = (tuple(np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0)), *parts[k], strict=True)) for k in (OWN, WORDS, GRAMS))
+        alone = ~np.isin(own[0], others[0])
+        self.words, self.grams = Lookup(np.concatenate([others[0], own[0][alone]]), np.concatenate([others[1], own[1][alone]])), Lookup(*grams)
+        self.tail, self.sums = END * depth, np.zeros(5)
+
+    def __call__(self, blob):
+        t = pa.ipc.open_stream(blob.as_buffer()).read_all()
+        ids, held, last = t.column("doc_id").to_pylist(), t.column("held_out").to_pylist(), t.column("last").to_pylist()
+        texts, at = t.column("entry"), 0
+        while at < len(ids):
+            bodies, size, end = [], 0, at
+            while end < len(ids) and size < BLOCK:
+                bodies.append(texts[end].as_py())
+                size += len(bodies[-1]) + 8
+                end += 1
+            yield self._block(ids[at:end], held[at:end], last[at:end], bodies)
+            at = end
+
+    def _block(self, ids, held, last, bodies) -> pa.RecordBatch:
+        m = len(bodies)
+        each = [word_keys(b, z) for b, z in zip(bodies, last, strict=True)]
+        sizes = np.fromiter(map(len, each), np.int64, m)
+        owner = np.repeat(np.arange(m), sizes)
+        c = self.words(np.concatenate(each))
+        found = np.zeros((m, 5))
+        found[:, 0], found[:, 1] = sizes, np.bincount(owner, c > 0, m)
+        found[:, 2] = np.bincount(owner, np.log10((c + 1) / (self.n + self.v + 1)), m)
+        coded = []
+        for b, z in zip(bodies, last, strict=True):
+            coded.append(self.tail + b)
+            self.tail = END * self.depth if z else coded[-1][-self.depth :]
+        keys, owner = gram_keys(coded, self.depth)
+        found[:, 3], found[:, 4] = np.bincount(owner, self.grams(keys), m), np.bincount(owner, minlength=m)
+        ends = np.flatnonzero(last)  # pieces of one text are added up
+        run = np.cumsum(np.vstack([self.sums, found]), 0)
+        upto = run[ends + 1]
+        total = np.diff(np.vstack([np.zeros(5), upto]), axis=0)
+        self.sums = run[-1] - (upto[-1] if len(ends) else 0)
+        k = len(ends)
+        columns = [pa.array([ids[i] for i in ends], pa.int64()), pa.array([held[i] for i in ends], pa.bool_()), pa.array(total[:, 0].astype(np.int64)), pa.array(total[:, 1].astype(np.int64)), pa.array(np.full(k, self.n, np.int64)), pa.array(total[:, 2]), pa.array(total[:, 3]), pa.array(-total[:, 3] * np.log2(10) / total[:, 4])]
+        return pa.RecordBatch.from_arrays(columns, names=NAMES)
+
+
 def _score(depth: int, n: int, v: int):
-    names = [f.split()[0] for f in OUT.split(", ")]
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams, elsewhere = Lookup(*_unpacked(right, 1)), _unpacked(right, 0)
-        out: dict[str, list] = {c: [] for c in names[1:]}
-        ids = []
-        for blob in left.column("docs"):
-            doc_id, held, norms = _docs(blob.as_buffer())
-            m = len(doc_id)
-            own = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for _, texts in _blocks(norms, np.flatnonzero(~held)):
-                own.append(np.unique(np.concatenate([word_keys(t) for t in texts]), return_counts=True))
-                own = _merged(own) if len(own) >= MERGE else own
-            own_keys, own_counts = _merged(own)[0]
-            alone = ~np.isin(own_keys, elsewhere[0])
-            words = Lookup(np.concatenate([elsewhere[0], own_keys[alone]]), np.concatenate([elsewhere[1], own_counts[alone]]))
-            del own, own_keys, own_counts, alone
-            tokens, known, base, score, size = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m), np.zeros(m)
-            for at, texts in _blocks(norms, np.arange(m)):
-                each = [word_keys(t) for t in texts]
-                sizes = np.fromiter(map(len, each), np.int64, len(each))
-                owner = np.repeat(np.arange(len(each)), sizes)
-                c = words(np.concatenate(each))
-                tokens[at], known[at] = sizes, np.bincount(owner, c > 0, len(each))
-                base[at] = np.bincount(owner, np.log10((c + 1) / (n + v + 1)), len(each))
-                keys, owner = gram_keys([body(t, depth) for t in texts], depth)
-                score[at] = np.bincount(owner, grams(keys), len(each))
-                size[at] = np.bincount(owner, minlength=len(each))
-            ids.append(doc_id)
-            for c, x in zip(names[1:], (held, tokens, known, np.full(m, n), base, score, -score * np.log2(10) / size), strict=True):
-                out[c].append(x)
-        return pa.table({"doc_id": pa.chunked_array([a for c in ids for a in c.chunks], pa.int64())} | {c: np.concatenate(x) for c, x in out.items()})
+    def run(batches):
+        chunk, parts, scorer = None, {}, None
+        for b in batches:
+            for c, kind, m, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if c != chunk:
+                    chunk, parts, scorer = c, {OWN: [], WORDS: [], GRAMS: []}, None
+                if kind != TEXTS:
+                    parts[kind].append(_unblob(m, packed))
+                    continue
+                if scorer is None:
+                    scorer, parts = _Scorer(depth, n, v, parts), {}
+                yield from scorer(packed)
 
     return run
 
@@ -360,34 +468,42 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     Null texts are empty: one token, the end. Rows are scored one by one, so
     ties, repeated rows and null ids pass through (a null ``train`` is held
-    out). Without training rows each decision has probability 1/2. An empty
-    table gives no rows. ``score`` and ``base_score`` are log10 probabilities
-    of the text and of its words alone; ``bits_per_byte`` is the code length.
+    out); further columns are left out, whatever their names. Very long texts
+    are counted and scored in pieces. Without training rows each decision has
+    probability 1/2. An empty table gives no rows. ``score`` and ``base_score``
+    are log10 probabilities of the text and of its words alone;
+    ``bits_per_byte`` is the code length.
     """
     if depth < 3:
         raise ValueError("depth is 3 or more")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (~F.coalesce(train, F.lit(False))).alias("held_out"), F.col(text_col).alias("text"))
     size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
-    parts = df.rdd.getNumPartitions()
-    if parts > (fewer := -(-size // CHUNK) or 1):  # scan tasks below a chunk's size are joined, without a shuffle
-        rows = rows.coalesce(fewer)
-    chunks = staged(rows.mapInArrow(_pack, "chunk long, docs binary"), "text-chunks")
-    found = staged(chunks.mapInArrow(_features(depth), "chunk long, kind byte, key long, n long"), "features")
-    by_word = Window.partitionBy("key")
-    told = F.min(F.when(F.col("n") > 0, F.col("chunk"))).over(by_word)
-    words = found.where("kind = 0").select("chunk", "key", "n", F.sum("n").over(by_word).alias("c"), told.alias("told"))
-    # a chunk knows its own counts: it needs those that other chunks add to
-    words = staged(words.where("c <> n").withColumn("again", (F.col("n") > 0) & (F.col("told") != F.col("chunk"))).drop("told", "n"), "word-counts")
-    n, trained = found.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    v = trained - words.agg(F.count_if("again")).first()[0]  # each distinct word once
-    grams = staged(found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    near = F.shiftright("key", 8 * (depth - 1)).alias("near")  # the two nearest bytes of context
-    low = grams.groupBy(near).applyInArrow(_summary(depth), "c1 long, node long, n0 double, n1 double, log_w double")
-    sums = low.groupBy("c1", "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "log_w")]).toArrow()  # 256 * 255 rows at most
-    top = Top(*(sums.column(c).to_numpy() for c in ("c1", "node", "n0", "n1", "log_w")))
-    values = grams.groupBy(near).applyInArrow(_values(depth, top), "key long, value double")
-    row = "chunk long, kind byte, n long, packed binary"
-    back = found.where("kind = 1").select("chunk", "kind", "key").join(values, "key").select("chunk", "kind", "key", "value").mapInArrow(_packed, row)
-    known = words.select("chunk", F.lit(0).cast("byte").alias("kind"), "key", F.col("c").cast("double").alias("value")).mapInArrow(_packed, row)
-    back = back.union(known)
-    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_score(depth, n, v), OUT)
+    parts, fewer = rows.rdd.getNumPartitions(), -(-size // CHUNK) or 1
+    if parts > fewer:  # scan tasks below a chunk's size are joined, without a shuffle
+        rows, parts = rows.coalesce(fewer), fewer
+    chunks = staged(rows.mapInArrow(_pack(depth, max(parts, 1)), ROW), "text-chunks")
+    found = chunks.select("chunk", "kind", "key", "n")
+    words, grams = found.where(F.col("kind") == WORD), found.where(F.col("kind") == GRAM)
+    counts = staged(words.groupBy("key").agg(F.sum("n").alias("c")), "word-counts")
+    n, v, number = *counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first(), (chunks.where(F.col("kind") == TEXTS).agg(F.max("chunk")).first()[0] or 0) + 1
+    known = words.join(counts, "key").where("c <> n")  # a chunk knows its own counts
+    near = F.shiftright("key", 8 * (depth - 2)).alias("near")  # the three nearest bytes of context
+    sums = staged(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams").select(near, "key", "n")
+    low = sums.repartition("near").sortWithinPartitions("near", "key").mapInArrow(_summary(depth), "c2 long, node long, n0 double, n1 double, log_w double")
+    low = low.groupBy("c2", "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "log_w")])
+    second = staged(low.mapInArrow(_second, SECOND), "two-byte-nodes")  # 256 ** 2 * 255 rows at most
+    first = second.groupBy(F.shiftright("c2", 8).alias("c1"), "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "log_w")]).toArrow()  # 256 * 255 rows at most
+    top = Top(*(first.column(c).to_numpy() for c in ("c1", "node", "n0", "n1", "log_w")))
+    nodes = sums.select("near", F.shiftright("near", 8).alias("c2")).distinct().join(second, "c2")
+    nodes = nodes.select("near", F.lit(0).alias("kind"), F.col("node").alias("key"), "n0", "n1", "share")
+    zero = F.lit(0.0)
+    both = nodes.union(sums.select("near", F.lit(1), "key", F.col("n").cast("double"), zero, zero))
+    values = both.repartition("near").sortWithinPartitions("near", "kind", "key").mapInArrow(_values(depth, top), "key long, value double")
+    told = grams.select("chunk", "key").join(values, "key").select("chunk", F.lit(GRAMS).cast("byte").alias("kind"), "key", "value")
+    told = told.union(known.select("chunk", F.lit(WORDS).cast("byte"), "key", F.col("c").cast("double")))
+    back = staged(told.mapInArrow(_packed, ROW), "told", instead=(counts,))
+    columns = ["chunk", "kind", "n", "packed", "seq"]
+    stream = chunks.where(F.col("kind") <= TEXTS).select(*columns).union(back.select(*columns))
+    dealt = stream.repartitionById(number, F.col("chunk").cast("int")).sortWithinPartitions("chunk", "kind", "seq")
+    dropped(second)
+    return dealt.mapInArrow(_score(depth, n, v), OUT)
