@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegrain.llm.pieces import cut
+from tracegrain.llm.pieces import cut, give_back
 from tracegrain.plans.materialize import dropped, staged
 
 #: Bytes of context (at least 3), bytes of a chunk, bytes counted at a time, bytes packed at a time, counts merged at a time, and slots of a lookup table.
-DEPTH, CHUNK, BLOCK, PART, MERGE, SLOT_BITS = 5, 64 << 20, 512 << 10, 4 << 20, 24, 21
+DEPTH, CHUNK, BLOCK, PART, MERGE, SLOT_BITS = 5, 64 << 20, 256 << 10, 2 << 20, 500_000, 20
 #: N-grams solved at a time (more only where the three nearest bytes are equal), and values packed at a time.
-SOLVE_ROWS, PACK_ROWS = 200_000, 500_000
+SOLVE_ROWS, PACK_ROWS = 100_000, 500_000
 #: Kinds of a chunk's rows, in the order of its stream: training counts of its own words, counts of words that others have too,
 #: values of n-grams, texts; and what it passes on: words and n-grams.
 OWN, WORDS, GRAMS, TEXTS, WORD, GRAM = range(6)
@@ -179,6 +179,8 @@ def _by_near(depth: int, kernel):
             held, size = [tuple(c[end:].copy() for c in rows)], size - end
         if size:
             yield kernel(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        held = []
+        give_back()
 
     return run
 
@@ -252,8 +254,10 @@ def _unblob(n: int, blob) -> tuple[np.ndarray, np.ndarray]:
 
 def _merged(parts: list) -> list:
     keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    u, inverse = np.unique(keys, return_inverse=True)
-    return [(u, np.bincount(inverse, counts, len(u)).astype(np.int64))]
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return [(keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts)]
 
 
 class _Chunk:
@@ -290,7 +294,7 @@ class _Chunk:
             for kind, keys in ((WORD, np.concatenate([word_keys(*w) for w in words])), (GRAM, gram_keys(grams, self.depth)[0])):
                 u, n = np.unique(keys, return_counts=True)
                 self.found[kind].append((u, n if learn else np.zeros_like(n)))
-                if len(self.found[kind]) >= MERGE:
+                if sum(len(p[0]) for p in self.found[kind][1:]) >= MERGE:
                     self.found[kind] = _merged(self.found[kind])
         self.block[learn], self.waiting[learn] = ([], []), 0
 
@@ -334,8 +338,11 @@ def _pack(depth: int, parts: int):
                     if chunk.size >= CHUNK:
                         yield from chunk.close()
                         chunk, number = None, number + parts
+            give_back()
         if chunk is not None:
             yield from chunk.close()
+        chunk = None
+        give_back()
 
     return run
 
@@ -361,6 +368,8 @@ def _packed(batches):
             held, size = [], 0
     if size:
         yield from flush()
+    held = []
+    give_back()
 
 
 class Lookup:
@@ -453,12 +462,15 @@ def _score(depth: int, n: int, v: int):
             for c, kind, m, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 if c != chunk:
                     chunk, parts, scorer = c, {OWN: [], WORDS: [], GRAMS: []}, None
+                    give_back()
                 if kind != TEXTS:
                     parts[kind].append(_unblob(m, packed))
                     continue
                 if scorer is None:
                     scorer, parts = _Scorer(depth, n, v, parts), {}
                 yield from scorer(packed)
+        scorer = None
+        give_back()
 
     return run
 
