@@ -1,33 +1,40 @@
-"""BPE encoding and decoding through distinct-word tables.
-
-Encoding a text with a public tokenizer is the concatenation of encoding its
-white-space-delimited words, because no pre-token of the supported vocabularies
-crosses from a non-space to a white-space character. Each task therefore splits
-its texts into words, encodes every distinct word once, and joins the ids back
-to the positions of the words. The table of a task is bounded: when full it is
-put aside as the old half, from which words that come again are taken over, so a
-corpus with an endless vocabulary costs time, not memory.
-
-The word table stays with the task: with the vocabulary of real text, (word,
-block) pairs for a cluster-wide table are a large part of the text itself.
-Ids are decoded by a join with the id-to-piece table of the vocabulary.
+"""BPE encoding and decoding through a distinct-word table.
+
+Where a vocabulary drops white space, a text's ids are those of its words, one
+after the other, because no pre-token crosses white space. Texts are split once,
+in chunks: a chunk numbers its distinct words and keeps each text as numbers.
+The words of all chunks are sorted, so that equal ones meet; each distinct word
+is encoded once, and its ids go back to every chunk and number that asked. There
+they are joined to the texts by position, as arrays. Ids are decoded by a join
+with the id-to-piece table of the vocabulary.
+
+Byte-level vocabularies encode white space with the words; ``ByteEncoder`` does
+whole texts for those.
 """
 
 from __future__ import annotations
 
-import re
+import io
+import json
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Words in either half of a task's table, characters of text and documents handled at a time.
-TABLE_WORDS, BLOCK_CHARS, BLOCK_DOCS = 400_000, 1_000_000, 500
-#: A run of white space with the word after it. U+001C-001F are spaces to Python only, so they never end a word.
-_SEGMENT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+")
+from tracegrain.llm.pieces import cut, give_back
+from tracegrain.plans.materialize import staged
+
+#: Bytes of text in a chunk, in a block of texts, and in a piece of a longer text; documents and rows handled at a time.
+CHUNK, BLOCK, PIECE, BLOCK_DOCS, PACK_ROWS = 32 << 20, 2 << 20, 4 << 20, 500, 200_000
+#: Characters of texts that are encoded whole at a time.
+BLOCK_CHARS = 1_000_000
+#: Kinds of rows: ids of a chunk's words, its texts as word numbers, and its words.
+IDS, TEXTS, WORD = range(3)
+ROW = "chunk long, kind byte, seq int, n long, words binary, packed binary"
 
 _ENCODERS: dict = {}
 
@@ -38,73 +45,70 @@ def load_vocabulary(path: str) -> str:
         return f.read()
 
 
-def _piece_bytes(tokenizer) -> np.ndarray:
-    """Bytes that each id of a byte-level vocabulary stands for: a character of a piece is a byte, of a special token itself."""
-    special = {t.content: len(t.content.encode("utf-8")) for t in tokenizer.get_added_tokens_decoder().values()}
-    vocab = tokenizer.get_vocab(with_added_tokens=True)
-    sizes = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)
-    for piece, i in vocab.items():
-        sizes[i] = special.get(piece, len(piece))
-    return sizes
+def _tokenizer(vocabulary: str):
+    import os
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
 
-class WordTable:
-    """Ids of words, each distinct word encoded once while it is remembered.
+    t = Tokenizer.from_str(vocabulary)
+    t.no_truncation()
+    t.no_padding()
+    return t
 
-    keep_space: the vocabulary encodes the white space before a word with it
-    (byte-level BPE); otherwise white space is dropped.
-    """
 
-    def __init__(self, vocabulary: str, keep_space: bool, limit: int = TABLE_WORDS):
-        import os
+def _kept(kind: type, vocabulary: str):
+    """One encoder of a kind, kept by a worker process between its tasks."""
+    key = (kind, hash(vocabulary))
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = kind(vocabulary)
+    return _ENCODERS[key]
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        if keep_space:
-            self.sizes = _piece_bytes(self.tokenizer)
-        self.keep_space, self.limit, self.ids, self.old = keep_space, limit, {}, {}
-
-    def split(self, text: str) -> list:
-        if not self.keep_space:
-            return text.encode("utf-8").split()  # ASCII white space only
-        words = _SEGMENT.findall(text)
-        done = sum(map(len, words))
-        return words if done == len(text) else [*words, text[done:]]
-
-    def _add(self, new: list) -> None:
-        """Encode words that the table lacks."""
-        if self.keep_space:
-            # words that start with a space encode alike alone and in a row: pieces' bytes tell where each ends
-            rows = [w for w in new if w[0] in " \n"]
-            new = [w for w in new if w[0] not in " \n"]
-            parts = [rows[i : i + 500] for i in range(0, len(rows), 500)]
-            for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                ends = np.cumsum([len(w.encode("utf-8")) for w in part])
-                cuts = [0, *(np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1).tolist()]
-                packed = ids.tobytes()
-                self.ids.update(zip(part, [packed[4 * x : 4 * y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
-        plain = new if self.keep_space else [w.decode("utf-8") for w in new]
-        for at in range(0, len(new), 1000):
-            for w, e in zip(new[at : at + 1000], self.tokenizer.encode_batch_fast(plain[at : at + 1000], add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+# The split pattern of byte-level vocabularies.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class ByteEncoder:
+    """Ids of whole texts under a byte-level vocabulary.
+
+    Texts of Latin-1 characters go through the vocabulary's ranks, which give
+    the library's ids several times as fast; the others, and texts with the
+    name of a special token, go to the library itself.
+    """
+
+    def __init__(self, vocabulary: str):
+        import tiktoken
+
+        self.tokenizer = _tokenizer(vocabulary)
+        data = json.loads(vocabulary)
+        self.special = [t["content"] for t in data.get("added_tokens", [])]
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        before, model = data.get("pre_tokenizer") or {}, data["model"]
+        simple = {k: before.get(k) for k in plain} == plain and not data.get("normalizer") and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow from 256 on
+        hidden = [b for b in range(256) if b not in set(printed)]
+        byte = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        ranks = {bytes(byte[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in self.special} if simple else {}
+        self.fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}) if simple else None
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [self.split(t) for t in texts]
-        wanted = set(chain.from_iterable(words)).difference(self.ids)
-        if len(self.ids) + len(wanted) > self.limit:
-            self.old, self.ids = self.ids, {}
-            wanted = set(chain.from_iterable(words))
-        again = wanted.intersection(self.old)
-        self.ids.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        self._add(list(wanted - again))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        out: list[bytes | None] = [self._quick(t) for t in texts]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def _quick(self, text: str) -> bytes | None:
+        if self.fast is None or any(x in text for x in self.special):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 class Pieces:
@@ -132,15 +136,6 @@ class Pieces:
         return pc.binary_join(pa.ListArray.from_arrays(ends, self.pieces.take(ids)), " ")
 
 
-def word_table(vocabulary: str, keep_space: bool) -> WordTable:
-    """The table of this worker process, kept between its tasks."""
-    key = (hash(vocabulary), keep_space)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordTable(vocabulary, keep_space)
-    return _ENCODERS[key]
-
-
 def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Runs of texts with about ``most`` characters together."""
     start = size = 0
@@ -160,35 +155,250 @@ def id_lists(parts: list[bytes], tail: bytes = b"") -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encoded(batches, vocabulary: str, keep_space: bool, tail: bytes) -> Iterator[tuple[list, pa.Array]]:
-    """Kept columns and ids for Arrow batches whose last column is the text, in blocks."""
-    table = word_table(vocabulary, keep_space)
+def encoded(batches, vocabulary: str, tail: bytes) -> Iterator[tuple[list, pa.Array]]:
+    """Kept columns and byte-level ids for Arrow batches whose last column is the text, in blocks."""
+    encode_texts = _kept(ByteEncoder, vocabulary)
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK_DOCS):
             part = batch.slice(at, BLOCK_DOCS)
             texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
             for a, b in blocks(texts):
                 kept = [part.column(i).slice(a, b - a) for i in range(part.num_columns - 1)]
-                yield kept, id_lists(table.encode(texts[a:b]), tail)
+                yield kept, id_lists(encode_texts(texts[a:b]), tail)
+
+
+def gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs at ``at``, one after the other, and the size of each."""
+    n = sizes[at]
+    return flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
+def _zip(table: pa.Table) -> bytes:
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+        w.write_table(table)
+    return sink.getvalue()
+
+
+def _row(chunk: int, kind: int, seq: int, n: int, words: bytes | None, packed: bytes) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int8(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((chunk, kind, seq, n, words, packed), kinds, strict=True)], names=["chunk", "kind", "seq", "n", "words", "packed"])
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Word numbers, byte by byte of their four, compressed."""
+    return pa.Codec("zstd", 3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T), asbytes=True)
+
+
+def _numbers(n: int, data) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=4 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words (runs without ASCII white space) and how many each text has."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    flat, n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+    real = np.not_equal(pc.binary_length(flat).to_numpy(zero_copy_only=False), 0)
+    counts = np.bincount(np.repeat(np.arange(len(n)), n)[real], minlength=len(n)) if len(n) else np.zeros(0, np.int64)
+    return flat.filter(pa.array(real)), counts
+
+
+class _Chunk:
+    """Rows of one chunk as its texts pass."""
+
+    def __init__(self, chunk: int):
+        self.chunk, self.seq, self.size = chunk, 0, 0
+        self.index: dict[str, int] = {}
+
+    def add(self, kept: pa.Table, last: list[bool], texts: pa.Array) -> pa.RecordBatch:
+        words, counts = split(texts)
+        codes = words.dictionary_encode()
+        new = self.index
+        local = np.array([new.setdefault(w, len(new)) for w in codes.dictionary.to_pylist()], np.uint32)
+        numbers = local[codes.indices.to_numpy()] if len(words) else np.zeros(0, np.uint32)
+        table = kept.append_column("__words", pa.array(counts, pa.int64())).append_column("__last", pa.array(last, pa.bool_()))
+        self.seq += 1
+        return _row(self.chunk, TEXTS, self.seq, len(numbers), _planes(numbers), _zip(table))
+
+    def close(self):
+        words = list(self.index)
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            m = len(part)
+            columns = [pa.array(np.full(m, self.chunk)), pa.array(np.full(m, WORD, np.int8)), pa.nulls(m, pa.int32()), pa.array(np.arange(i, i + m)), pa.array(part, pa.string()).cast(pa.binary()), pa.nulls(m, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "kind", "seq", "n", "words", "packed"])
+
+
+def _pack(parts: int):
+    """The rows of chunks of about ``CHUNK`` bytes; the n-th chunk of task p has the number p + n * parts. The text comes last."""
+
+    def blocks_of(b):
+        text = b.column(b.num_columns - 1)
+        text = text.fill_null("")
+        kept = pa.Table.from_batches([b.select(range(b.num_columns - 1))])
+        size = pc.binary_length(text).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(size):
+            if size[at] > PIECE:  # a long text, piece by piece
+                parts_of = [p.decode("utf-8") for p in cut(text[at].as_py().encode("utf-8"), PIECE)]
+                for i, p in enumerate(parts_of):
+                    yield kept.slice(at, 1), [i + 1 == len(parts_of)], pa.array([p], pa.string()), len(p)
+                at += 1
+                continue
+            end, held = at, 0
+            while end < len(size) and held < BLOCK and size[end] <= PIECE:
+                held += int(size[end]) + 20
+                end += 1
+            yield kept.slice(at, end - at), [True] * (end - at), text.slice(at, end - at), held
+            at = end
 
+    def run(batches):
+        number, chunk = TaskContext.get().partitionId(), None
+        for b in batches:
+            for kept, last, texts, size in blocks_of(b):
+                chunk = chunk or _Chunk(number)
+                yield chunk.add(kept, last, texts)
+                chunk.size += size
+                if chunk.size >= CHUNK and last[-1]:
+                    yield from chunk.close()
+                    chunk, number = None, number + parts
+                    give_back()
+        if chunk is not None:
+            yield from chunk.close()
+        chunk = None
+        give_back()
+
+    return run
+
+
+class WordEncoder:
+    """Ids of distinct words, by the library."""
 
-def encode(df: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", keep_space: bool = False, end_id: int | None = None) -> DataFrame:
-    """Columns ``keep`` and the token ids of each whole text.
+    def __init__(self, vocabulary: str):
+        self.tokenizer = _tokenizer(vocabulary)
+
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for at in range(0, len(words), 1000) for e in self.tokenizer.encode_batch_fast(words[at : at + 1000], add_special_tokens=False)]
 
-    A null text counts as empty and gives no ids (only ``end_id``, where one is
-    asked for). Rows are independent: ties, repeated rows and nulls in kept
-    columns pass through; an empty table gives an empty table.
-    """
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # a file of fixed size
+
+def _encode(shared):
+    """(words, chunk, n), sorted by word: the ids of each, packed by chunk."""
 
     def run(batches):
-        for kept, ids in encoded(batches, shared.value, keep_space, tail):
-            yield pa.RecordBatch.from_arrays([*kept, ids], names=[*keep, ids_col])
+        encode_words = _kept(WordEncoder, shared.value)
+        before: dict[bytes, list[int]] = {}
+        held, size = [], 0
+
+        def flush():
+            chunk, local, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            flat = np.concatenate([h[3] for h in held])
+            starts, order = np.cumsum(n) - n, np.argsort(chunk, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(chunk[order]) != 0))
+            for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+                mine = order[a:b]
+                ids, m = gather(starts, n, flat, mine)
+                table = pa.table({"local": pa.array(local[mine], pa.int64()), "m": pa.array(m, pa.int32())})
+                yield _row(int(chunk[mine[0]]), IDS, 0, len(ids), _planes(ids), _zip(table))
+
+        for b in batches:
+            codes = b.column(0).dictionary_encode()
+            distinct = codes.dictionary.to_pylist()
+            new = [w for w in distinct if w not in before]
+            known = dict(zip(new, encode_words([w.decode("utf-8") for w in new]), strict=True))
+            lists = [known.get(w) or before.get(w, []) for w in distinct]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat, n = gather(np.cumsum(sizes) - sizes, sizes, np.array([i for x in lists for i in x], np.int32), codes.indices.to_numpy())
+            held.append((b.column(1).to_numpy(), b.column(2).to_numpy(), n, flat))
+            size += b.num_rows
+            before = {distinct[-1]: lists[-1]} if distinct else before  # the next batch may go on with it
+            if size >= PACK_ROWS:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+        held = []
+        give_back()
+
+    return run
+
+
+def _join(names: list[str], tail: list[int]):
+    """Rows sorted by chunk, kind and seq: ids of its words, then its texts, which get them by position."""
 
-    rows = df.select(*keep, text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, `{ids_col}` array<int>")
+    def run(batches):
+        chunk, parts, table, open_ids = None, [], None, np.zeros(0, np.int32)
+        for b in batches:
+            for c, kind, n, words, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
+                if c != chunk:
+                    chunk, parts, table = c, [], None
+                    give_back()
+                rows = pa.ipc.open_stream(packed.as_buffer()).read_all()
+                if kind == IDS:
+                    parts.append((rows.column("local").to_numpy(), rows.column("m").to_numpy(), _numbers(n, words).astype(np.int32)))
+                    continue
+                if table is None:
+                    local, m, flat = (np.concatenate([np.zeros(0, np.int32), *(p[i] for p in parts)]) for i in range(3))
+                    starts, sizes = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
+                    starts[local], sizes[local] = np.cumsum(m) - m, m
+                    table, parts = (starts, sizes, flat), []
+                ids, each = gather(*table, _numbers(n, words))
+                upto = np.append(0, np.cumsum(each))
+                ends = upto[np.cumsum(rows.column("__words").to_numpy())] + len(open_ids)
+                ids = np.concatenate([open_ids, ids])
+                last = rows.column("__last").to_numpy()
+                ends = ends[last]
+                done = int(ends[-1]) if len(ends) else 0
+                ids, open_ids = ids[:done], ids[done:]
+                if tail:
+                    ids = np.insert(ids, np.repeat(ends, len(tail)), np.tile(tail, len(ends)))
+                    ends = ends + len(tail) * np.arange(1, len(ends) + 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
+                kept = rows.filter(pa.array(last)).select(range(len(names) - 1)).combine_chunks()
+                whole = pa.RecordBatch.from_arrays([*(x.combine_chunks() for x in kept.columns), lists], names=names)
+                for at in range(0, whole.num_rows, BLOCK_DOCS):
+                    yield whole.slice(at, BLOCK_DOCS)
+        table = None
+        give_back()
+
+    return run
+
+
+def encode(df: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", keep_space: bool = False, end_id: int | None = None) -> DataFrame:
+    """Columns ``keep`` and the token ids of each whole text.
+
+    keep_space: the vocabulary encodes the white space before a word with it
+    (byte-level); such texts are encoded whole, others through the distinct-word
+    table. A null text counts as empty and gives no ids (only ``end_id``, where
+    one is asked for). Rows are independent: ties, repeated rows and nulls in
+    kept columns pass through; columns that aren't kept don't matter; a very long
+    text is split in pieces; an empty table gives an empty table.
+    """
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary)  # a file of fixed size
+    rows = df.select(*keep, F.col(text_col).alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + f", `{ids_col}` array<int>"
+    names = [*keep, ids_col]
+    if keep_space:
+        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+
+        def run(batches):
+            for kept, ids in encoded(batches, shared.value, tail):
+                yield pa.RecordBatch.from_arrays([*kept, ids], names=names)
+
+        return rows.mapInArrow(run, schema)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
+    parts, fewer = rows.rdd.getNumPartitions(), -(-size // CHUNK) or 1
+    if parts > fewer:  # scan tasks below a chunk's size are joined, without a shuffle
+        rows, parts = rows.coalesce(fewer), fewer
+    chunks = staged(rows.mapInArrow(_pack(max(parts, 1)), ROW), "word-chunks")
+    number = (chunks.where(F.col("kind") == TEXTS).agg(F.max("chunk")).first()[0] or 0) + 1
+    words = chunks.where(F.col("kind") == WORD).select("words", "chunk", "n").repartition("words").sortWithinPartitions("words")
+    columns = ["chunk", "kind", "n", "words", "packed", "seq"]
+    ids = words.mapInArrow(_encode(shared), ROW).select(*columns)
+    stream = chunks.where(F.col("kind") == TEXTS).select(*columns).union(ids)
+    dealt = stream.repartitionById(number, F.col("chunk").cast("int")).sortWithinPartitions("chunk", "kind", "seq")
+    return dealt.mapInArrow(_join(names, [] if end_id is None else [end_id]), schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), text_col: str = "decoded") -> DataFrame:

@@ -25,12 +25,13 @@ STRIPE_BYTES, ROW_GROUP, BLOOM_FPP = 16 << 20, 1000, 0.01
 SCHEMA = "doc_id long, shard int, seq long, ids array<int>"
 
 
-def write(df: DataFrame, vocabulary: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_space: bool = True, end_id: int | None = None) -> str:
-    """Encode ``df`` and write its ids in ascending id order; returns the folder.
+def write(df: DataFrame, vocabulary: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> str:
+    """Encode ``df`` under a byte-level vocabulary and write its ids in ascending id order; returns the folder.
 
     Rows of equal id are ordered by text, null ids come first; a null text is
     empty. ``shard`` and ``seq`` hold each document's place in the whole order.
-    An empty table writes no rows.
+    A text is one row of the file, however long; columns besides id and text are
+    left out. An empty table writes no rows.
     """
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -42,7 +43,7 @@ def write(df: DataFrame, vocabulary: str, path: str | None = None, id_col: str =
 
     def place(batches):  # encodes and numbers in one go
         shard, seq = TaskContext.get().partitionId(), 0
-        for (ids,), lists in bpe.encoded(batches, shared.value, keep_space, tail):
+        for (ids,), lists in bpe.encoded(batches, shared.value, tail):
             n = len(ids)
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(seq, seq + n, dtype=np.int64)), lists], names=["doc_id", "shard", "seq", "ids"])
             seq += n
