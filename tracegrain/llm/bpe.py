@@ -2,11 +2,12 @@
 
 Where a vocabulary drops white space, a text's ids are those of its words, one
 after the other, because no pre-token crosses white space. Texts are split once,
-in chunks: a chunk numbers its distinct words and keeps each text as numbers.
-The words of all chunks are sorted, so that equal ones meet; each distinct word
-is encoded once, and its ids go back to every chunk and number that asked. There
-they are joined to the texts by position, as arrays. Ids are decoded by a join
-with the id-to-piece table of the vocabulary.
+in chunks: a chunk numbers its distinct words, the most frequent first, and keeps
+each text as numbers. The words of all chunks are dealt to buckets by a hash, so
+that equal ones meet in packed lists; a bucket encodes each distinct word once,
+and the ids go back to every chunk and number that asked. There they are joined
+to the texts by position, as arrays. Ids are decoded by a join with the
+id-to-piece table of the vocabulary.
 
 Byte-level vocabularies encode white space with the words; ``ByteEncoder`` does
 whole texts for those.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from tracegrain.llm.pieces import cut, give_back
 from tracegrain.plans.materialize import staged
 
-#: Bytes of text in a chunk, in a block of texts, and in a piece of a longer text; documents and rows handled at a time.
-CHUNK, BLOCK, PIECE, BLOCK_DOCS, PACK_ROWS = 32 << 20, 2 << 20, 4 << 20, 500, 200_000
+#: Bytes of text in a chunk, in a block of texts, and in a piece of a longer text; documents handled at a time; level of compression.
+CHUNK, BLOCK, PIECE, BLOCK_DOCS, LEVEL = 48 << 20, 2 << 20, 4 << 20, 500, 9
+#: Most buckets of words, so that lists keep some hundred words; and words that a bucket's table holds before it starts anew.
+BUCKETS, TABLE_WORDS = 4096, 400_000
 #: Characters of texts that are encoded whole at a time.
 BLOCK_CHARS = 1_000_000
 #: Kinds of rows: ids of a chunk's words, its texts as word numbers, and its words.
@@ -185,14 +189,28 @@ def _row(chunk: int, kind: int, seq: int, n: int, words: bytes | None, packed: b
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((chunk, kind, seq, n, words, packed), kinds, strict=True)], names=["chunk", "kind", "seq", "n", "words", "packed"])
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Word numbers, byte by byte of their four, compressed."""
-    return pa.Codec("zstd", 3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T), asbytes=True)
+def _planes(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers below 2 ** 32, each byte by byte of as many as they need, compressed, after a line that tells their sizes."""
+    head, parts = [], []
+    for x in arrays:
+        k = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+        planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :k].T)
+        parts.append(pa.Codec("zstd", LEVEL).compress(planes, asbytes=True))
+        head.append(f"{len(x)},{k},{len(parts[-1])}")
+    return b";".join(h.encode() for h in head) + b"\n" + b"".join(parts)
 
 
-def _numbers(n: int, data) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=4 * n, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+def _numbers(data: pa.Scalar) -> list[np.ndarray]:
+    buffer = data.as_buffer()
+    at = bytes(buffer.slice(0, min(200, buffer.size))).index(b"\n") + 1
+    found = []
+    for n, k, size in (map(int, h.split(b",")) for h in bytes(buffer.slice(0, at - 1)).split(b";")):
+        planes = np.frombuffer(pa.decompress(buffer.slice(at, size), decompressed_size=k * n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+        out = np.zeros((n, 4), np.uint8)
+        out[:, :k] = planes.reshape(k, n).T
+        found.append(out.view("<u4").ravel())
+        at += size
+    return found
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -205,33 +223,44 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class _Chunk:
-    """Rows of one chunk as its texts pass."""
+    """Rows of one chunk, once its texts have passed."""
 
     def __init__(self, chunk: int):
-        self.chunk, self.seq, self.size = chunk, 0, 0
+        self.chunk, self.size = chunk, 0
         self.index: dict[str, int] = {}
+        self.blocks: list[tuple[pa.Table, np.ndarray]] = []
 
-    def add(self, kept: pa.Table, last: list[bool], texts: pa.Array) -> pa.RecordBatch:
+    def add(self, kept: pa.Table, last: list[bool], texts: pa.Array) -> None:
         words, counts = split(texts)
         codes = words.dictionary_encode()
         new = self.index
         local = np.array([new.setdefault(w, len(new)) for w in codes.dictionary.to_pylist()], np.uint32)
         numbers = local[codes.indices.to_numpy()] if len(words) else np.zeros(0, np.uint32)
-        table = kept.append_column("__words", pa.array(counts, pa.int64())).append_column("__last", pa.array(last, pa.bool_()))
-        self.seq += 1
-        return _row(self.chunk, TEXTS, self.seq, len(numbers), _planes(numbers), _zip(table))
-
-    def close(self):
-        words = list(self.index)
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            m = len(part)
-            columns = [pa.array(np.full(m, self.chunk)), pa.array(np.full(m, WORD, np.int8)), pa.nulls(m, pa.int32()), pa.array(np.arange(i, i + m)), pa.array(part, pa.string()).cast(pa.binary()), pa.nulls(m, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "kind", "seq", "n", "words", "packed"])
-
-
-def _pack(parts: int):
-    """The rows of chunks of about ``CHUNK`` bytes; the n-th chunk of task p has the number p + n * parts. The text comes last."""
+        self.blocks.append((kept.append_column("__words", pa.array(counts, pa.int64())).append_column("__last", pa.array(last, pa.bool_())), numbers))
+
+    def close(self, buckets: int):
+        words, self.index = list(self.index), {}
+        order = np.argsort(-sum((np.bincount(x, minlength=len(words)) for _, x in self.blocks), np.zeros(len(words), np.int64)), kind="stable")
+        rank = np.zeros(len(words), np.uint32)
+        rank[order] = np.arange(len(words))
+        for seq, (table, numbers) in enumerate(self.blocks):
+            yield _row(self.chunk, TEXTS, seq, len(numbers), _planes(rank[numbers]), _zip(table))
+        self.blocks = []
+        bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[order] % np.uint64(buckets)
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)) if len(words) else []
+        for a, b in zip(cuts, np.append(cuts[1:], len(by)).astype(int), strict=True):
+            mine = by[a:b]
+            joined = " ".join([words[i] for i in order[mine]]).encode("utf-8")
+            packed = pa.Codec("zstd", LEVEL).compress(joined, asbytes=True)
+            yield _row(self.chunk, WORD, int(bucket[mine[0]]), len(joined), packed, _planes(np.diff(mine, prepend=0)))
+
+
+def _pack(parts: int, buckets: int):
+    """The rows of chunks of about ``CHUNK`` bytes; the n-th chunk of task p has the number p + n * parts. The text comes last.
+
+    seq is a block's place in the chunk, or the bucket of a list of words.
+    """
 
     def blocks_of(b):
         text = b.column(b.num_columns - 1)
@@ -258,14 +287,14 @@ def _pack(parts: int):
         for b in batches:
             for kept, last, texts, size in blocks_of(b):
                 chunk = chunk or _Chunk(number)
-                yield chunk.add(kept, last, texts)
+                chunk.add(kept, last, texts)
                 chunk.size += size
                 if chunk.size >= CHUNK and last[-1]:
-                    yield from chunk.close()
+                    yield from chunk.close(buckets)
                     chunk, number = None, number + parts
                     give_back()
         if chunk is not None:
-            yield from chunk.close()
+            yield from chunk.close(buckets)
         chunk = None
         give_back()
 
@@ -283,41 +312,23 @@ class WordEncoder:
 
 
 def _encode(shared):
-    """(words, chunk, n), sorted by word: the ids of each, packed by chunk."""
+    """Lists of words, sorted by bucket (seq): the ids of each list. A bucket's table holds each distinct word it has met."""
 
     def run(batches):
         encode_words = _kept(WordEncoder, shared.value)
-        before: dict[bytes, list[int]] = {}
-        held, size = [], 0
-
-        def flush():
-            chunk, local, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-            flat = np.concatenate([h[3] for h in held])
-            starts, order = np.cumsum(n) - n, np.argsort(chunk, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(chunk[order]) != 0))
-            for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                mine = order[a:b]
-                ids, m = gather(starts, n, flat, mine)
-                table = pa.table({"local": pa.array(local[mine], pa.int64()), "m": pa.array(m, pa.int32())})
-                yield _row(int(chunk[mine[0]]), IDS, 0, len(ids), _planes(ids), _zip(table))
-
+        bucket, table = None, {}
         for b in batches:
-            codes = b.column(0).dictionary_encode()
-            distinct = codes.dictionary.to_pylist()
-            new = [w for w in distinct if w not in before]
-            known = dict(zip(new, encode_words([w.decode("utf-8") for w in new]), strict=True))
-            lists = [known.get(w) or before.get(w, []) for w in distinct]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat, n = gather(np.cumsum(sizes) - sizes, sizes, np.array([i for x in lists for i in x], np.int32), codes.indices.to_numpy())
-            held.append((b.column(1).to_numpy(), b.column(2).to_numpy(), n, flat))
-            size += b.num_rows
-            before = {distinct[-1]: lists[-1]} if distinct else before  # the next batch may go on with it
-            if size >= PACK_ROWS:
-                yield from flush()
-                held, size = [], 0
-        if size:
-            yield from flush()
-        held = []
+            for chunk, seq, n, packed, steps in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), b.column(4), strict=True):
+                if seq != bucket or len(table) > TABLE_WORDS:
+                    bucket, table = seq, {}
+                words = pa.decompress(packed.as_buffer(), decompressed_size=n, codec="zstd", asbytes=True).decode("utf-8").split(" ")
+                new = [w for w in words if w not in table]
+                for w, ids in zip(new, encode_words(new), strict=True):
+                    table[w] = np.array(ids, "<u4").tobytes()
+                found = [table[w] for w in words]
+                sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+                yield _row(chunk, IDS, seq, len(words), _planes(_numbers(steps)[0], sizes, np.frombuffer(b"".join(found), "<u4")), b"")
+        table = {}
         give_back()
 
     return run
@@ -329,20 +340,21 @@ def _join(names: list[str], tail: list[int]):
     def run(batches):
         chunk, parts, table, open_ids = None, [], None, np.zeros(0, np.int32)
         for b in batches:
-            for c, kind, n, words, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
+            for c, kind, words, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 if c != chunk:
                     chunk, parts, table = c, [], None
                     give_back()
-                rows = pa.ipc.open_stream(packed.as_buffer()).read_all()
                 if kind == IDS:
-                    parts.append((rows.column("local").to_numpy(), rows.column("m").to_numpy(), _numbers(n, words).astype(np.int32)))
+                    steps, m, flat = _numbers(words)
+                    parts.append((np.cumsum(steps, dtype=np.int64), m.astype(np.int64), flat.astype(np.int32)))
                     continue
+                rows = pa.ipc.open_stream(packed.as_buffer()).read_all()
                 if table is None:
-                    local, m, flat = (np.concatenate([np.zeros(0, np.int32), *(p[i] for p in parts)]) for i in range(3))
+                    local, m, flat = (np.concatenate([np.zeros(0, np.int32 if i == 2 else np.int64), *(p[i] for p in parts)]) for i in range(3))
                     starts, sizes = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
                     starts[local], sizes[local] = np.cumsum(m) - m, m
                     table, parts = (starts, sizes, flat), []
-                ids, each = gather(*table, _numbers(n, words))
+                ids, each = gather(*table, _numbers(words)[0])
                 upto = np.append(0, np.cumsum(each))
                 ends = upto[np.cumsum(rows.column("__words").to_numpy())] + len(open_ids)
                 ids = np.concatenate([open_ids, ids])
@@ -391,12 +403,12 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[s
     parts, fewer = rows.rdd.getNumPartitions(), -(-size // CHUNK) or 1
     if parts > fewer:  # scan tasks below a chunk's size are joined, without a shuffle
         rows, parts = rows.coalesce(fewer), fewer
-    chunks = staged(rows.mapInArrow(_pack(max(parts, 1)), ROW), "word-chunks")
+    buckets = int(min(BUCKETS, 2 * fewer + 1))
+    chunks = staged(rows.mapInArrow(_pack(max(parts, 1), buckets), ROW), "word-chunks")
     number = (chunks.where(F.col("kind") == TEXTS).agg(F.max("chunk")).first()[0] or 0) + 1
-    words = chunks.where(F.col("kind") == WORD).select("words", "chunk", "n").repartition("words").sortWithinPartitions("words")
-    columns = ["chunk", "kind", "n", "words", "packed", "seq"]
-    ids = words.mapInArrow(_encode(shared), ROW).select(*columns)
-    stream = chunks.where(F.col("kind") == TEXTS).select(*columns).union(ids)
+    words = chunks.where(F.col("kind") == WORD).select("chunk", "seq", "n", "words", "packed").repartitionById(buckets, "seq").sortWithinPartitions("seq")
+    columns = ["chunk", "kind", "words", "packed", "seq"]
+    stream = chunks.where(F.col("kind") == TEXTS).select(*columns).union(words.mapInArrow(_encode(shared), ROW).select(*columns))
     dealt = stream.repartitionById(number, F.col("chunk").cast("int")).sortWithinPartitions("chunk", "kind", "seq")
     return dealt.mapInArrow(_join(names, [] if end_id is None else [end_id]), schema)
 
