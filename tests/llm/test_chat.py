@@ -32,12 +32,26 @@ def test_turns_come_back_once_and_in_order(turns, budget, history):
 
 
 def test_history_is_limited():
-    rows = windows([("system", "s" * 40), *[("user", "u" * 40), ("assistant", "a" * 40)] * 10], 80, 30)
+    rows = windows([("system", "s " * 10), *[("user", "u, " * 5), ("assistant", "a " * 10)] * 10], 80, 30)
     assert len(rows) > 3
     for r in rows[1:]:
         assert 1 <= r["n_repeated"] <= 3
 
 
+def test_tokens_are_words_and_marks():
+    assert chat.tokens("user", "") == chat.MARKS + 1
+    assert chat.tokens("", "one, two!") == chat.MARKS + 4
+    assert chat.tokens("", "abcdefghijklm") == chat.MARKS + 3
+
+
+def test_a_turn_far_above_the_budget_is_a_window_of_its_own():
+    long = "word " * 300_000
+    rows = windows([("system", "be brief"), ("user", long), ("assistant", "yes"), ("user", "so?"), ("assistant", long)], 100, 20)
+    assert [len(chat.parse(r["text"])) - r["n_repeated"] for r in rows] == [1, 1, 2, 1]
+    assert rows[1]["tokens"] > 300_000 and rows[2]["tokens"] <= 100
+    assert [chat.unescape(r["text"][x["start"] : x["stop"]]) for r in rows for x in r["loss"]] == ["yes", long]
+
+
 def test_odd_rows(spark):
     rows = [(1, 1, "assistant", None, "x"), (1, 0, None, "hi", "x"), (None, 0, "user", "a", "x"), (2, None, "user", "b", "x"), (2, None, "user", "b", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string")

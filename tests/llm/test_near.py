@@ -153,6 +153,7 @@ def test_fingerprints_and_edited_texts(spark, tmp_path):
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         sets = [set(spotsigs.signatures(t).tolist()) for t in (text, edited, after)]
         near = [1.0 if not sets[0] | x else len(sets[0] & x) / len(sets[0] | x) for x in sets[1:]]
+        near = [x if x >= queries.LEAST_LIKENESS else 0.0 for x in near]
         assert (r.near_edited, r.near_next) == tuple(near)
     same = {}
     for (_, t), r in zip(rows, got, strict=True):
@@ -198,6 +199,16 @@ def test_next_of_ties_nulls_and_single_rows(spark):
     assert spotsigs.with_next(df.limit(0)).count() == 0
 
 
+def test_ranges_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "RANGE_BYTES", 60)
+    rng = random.Random(1)
+    rows = [(rng.randrange(-(10**12), 10**12), f"text {i} " * rng.randrange(9), i, "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, range int, tail string").repartition(3)
+    got = {r.doc_id: (r.text, r.next_text) for r in spotsigs.with_next(df).collect()}
+    order = sorted(rows)
+    assert got == {r[0]: (r[1], order[(k + 1) % 200][1]) for k, r in enumerate(order)}
+
+
 def test_near_pairs_match_all_pairs(spark):
     rows = list(enumerate(texts(6)))
     pairs, member = spotsigs.near_pairs(spark.createDataFrame([*rows, (None, "x")], "doc_id long, text string"))

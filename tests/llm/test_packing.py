@@ -6,31 +6,50 @@ from tracegrain.llm import packing
 
 
 def one_by_one(items, capacities, opening):
-    """Best-fit decreasing, a piece at a time."""
+    """Best-fit decreasing, a piece at a time: the first opened of the fullest bins that take it."""
     bins = []
     for x in sorted(items, reverse=True):
         fit = [b for b in bins if b[0] >= x]
         if fit:
             b = min(fit, key=lambda b: b[0])
         else:
-            size = opening if opening is not None and opening >= x else min(c for c in capacities if c >= x)
-            bins.append(b := [size, 0])
+            bins.append(b := [opening[sum(c < x for c in capacities)], 0])
         b[0] -= x
         b[1] += x
-    return sorted(min(c for c in capacities if c >= used) for _, used in bins), sorted(used for _, used in bins)
+    return sorted((used, min(c for c in capacities if c >= used)) for _, used in bins)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=60), st.sampled_from([None, 10, 20, 40]))
+CAPACITIES = (10, 20, 40)
+RULES = [(a, b, 40) for a in CAPACITIES for b in (20, 40)]
+
+
+def histogram(items):
+    return np.unique(np.array(items, np.int64), return_counts=True)
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60), st.sampled_from(RULES))
 def test_groups_pack_like_single_pieces(items, opening):
-    capacities = (10, 20, 40)
-    lengths, counts = np.unique(np.array(items, np.int64), return_counts=True)
-    plan = packing.pack(lengths, counts, capacities, opening)
-    got = sorted(c for _, m, _, c in plan.groups.tolist() for _ in range(m))
-    used = sorted(u for _, m, u, _ in plan.groups.tolist() for _ in range(m))
-    assert (got, used) == one_by_one(items, capacities, opening)
-    best = packing.best_plan(lengths, counts, capacities)
-    assert best.cost <= min(plan.cost, sum(c + packing.OVERHEAD for c in got))
+    plan = packing.pack(*histogram(items), CAPACITIES, opening)
+    assert sorted((u, c) for _, m, u, c in plan.groups.tolist() for _ in range(m)) == one_by_one(items, CAPACITIES, opening)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_no_single_rule_is_cheaper(items):
+    single = [packing.pack(*histogram(items), CAPACITIES, packing.uniform(CAPACITIES, c)).cost for c in (None, *CAPACITIES)]
+    best = packing.best_plan(*histogram(items), CAPACITIES)
+    every = [packing.pack(*histogram(items), CAPACITIES, r).cost for r in RULES]
+    assert min(every) <= best.cost <= min(single)
+
+
+def test_sizes_chosen_jointly_beat_every_single_rule():
+    rng, won, sizes = np.random.default_rng(0), 0, (16, 24, 40)
+    for _ in range(50):
+        items = rng.integers(1, 41, 30).tolist()
+        single = min(packing.pack(*histogram(items), sizes, packing.uniform(sizes, c), 4).cost for c in (None, *sizes))
+        won += packing.best_plan(*histogram(items), sizes, 4).cost < single
+    assert won > 0
 
 
 def check(rows, lengths, capacities):

@@ -24,6 +24,27 @@ def test_stages_keep_clean_documents_and_their_columns(spark, tmp_path):
     assert {r.doc_id for r in packed} == after
 
 
+def test_each_stage_on_tables_without_rows_and_with_further_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, p string, bucket int, comp string, n_tokens string"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    none = spark.createDataFrame([], schema)
+    one = spark.createDataFrame([(1, "the house and the garden", "en", None, 3, "p", 1, None, "z")] * 2, schema)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+        got = stage(spark, one, str(tmp_path))
+        assert got.count() == (1 if name == "near_dedup" else 2)
+        assert name == "packing" or got.columns == one.columns
+
+
+def test_gibberish_and_other_scripts_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = ["xq zzkw vbnq wrtpq lkjh gfdsq zxcvb mnbvq qwrtp", "Привет как дела сегодня мы идем", "今日はいい天気です", "123 456", None]
+    seen = docs.union(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], docs.schema))
+    kept = {r.doc_id for r in pipeline.language_stage(spark, seen, "").collect()}
+    assert not kept & {-1 - i for i in range(len(odd))}
+    assert kept == {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+
+
 def test_run_on_odd_rows(spark, tmp_path):
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "x y z " * 9, "en", "a", 54), (2, "x y z " * 9, "en", "a", 54), (3, "w " * 200_000, "en", "a", 400_000)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")

@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a window, of repeated history, and of a turn's marks; characters of a token.
-BUDGET, HISTORY, MARKS, TOKEN_CHARS = 1024, 256, 4, 4
+#: Tokens of a window, of repeated history, and of a turn's marks.
+BUDGET, HISTORY, MARKS = 1024, 256, 4
+#: A token is a word or a mark; a word counts once for every ``WORD_CHARS`` characters it begins, as vocabularies split longer ones.
+WORD_CHARS, TOKEN = 6, re.compile(r"\w+|[^\w\s]")
 TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*)</turn>\n", re.DOTALL)
 WINDOW = "conv_id long, window long, n_repeated int, tokens long, text string, loss array<struct<start:int,stop:int>>"
 _LOSS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
@@ -40,7 +42,7 @@ def unescape(text: str) -> str:
 
 
 def tokens(role: str, text: str) -> int:
-    return MARKS - (-(len(role) + len(text)) // TOKEN_CHARS)
+    return MARKS + sum(-(-(m.end() - m.start()) // WORD_CHARS) for part in (role, text) for m in TOKEN.finditer(part))
 
 
 class Windows:

@@ -99,16 +99,17 @@ class Model:
                 out[:, 64 * w + bit] = np.bincount(owner, weights=hit, minlength=len(texts)) / total
         return np.clip((out - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1), has
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Of each text the language, its share against the runner-up's, and its share of the n-grams."""
         if not self.languages:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         share, has = self.shares(texts)
         best = share.argmax(1)
         top = np.sort(share, 1)
         first = top[:, -1]
         second = top[:, -2] if share.shape[1] > 1 else np.zeros(len(texts))
         score = np.where(first > 0, first / np.maximum(first + second, 1e-12), 0.0)
-        return [self.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], [float(s) if h else 0.0 for s, h in zip(score, has, strict=True)]
+        return [self.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], [float(s) if h else 0.0 for s, h in zip(score, has, strict=True)], first.tolist()
 
 
 def _runs(sizes: list[int], most: int):
@@ -194,26 +195,28 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int
     return Model(languages, table, fill**hashes, bits, hashes)
 
 
-_RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+_RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("share", T.DoubleType())])
 
 
 def predictor(spark, model: Model):
-    """A column function: text to struct(lang_pred, score).
+    """A column function: text to struct(lang_pred, score, share).
 
     Null texts and texts without a letter give ``und`` and 0. Otherwise the
     score is the winner's share against the runner-up's, 0.5 to 1 (0 if no
-    n-gram is known); ties go to the language with more training n-grams.
+    n-gram is known); ties go to the language with more training n-grams. The
+    share is that of the text's n-grams which the language's profile contains.
     """
     shared = spark.sparkContext.broadcast(model)  # as many slots for any corpus
 
     @F.pandas_udf(_RESULT)
     def predict(text: pd.Series) -> pd.DataFrame:
         texts = [t if isinstance(t, str) else "" for t in text]
-        langs, scores = [], []
+        langs, scores, shares = [], [], []
         for a, b in _runs([len(t) for t in texts], BLOCK_CHARS):
-            x, y = shared.value.predict(texts[a:b])
+            x, y, z = shared.value.predict(texts[a:b])
             langs += x
             scores += y
-        return pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
+            shares += z
+        return pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float), "share": pd.Series(shares, dtype=float)})
 
     return predict

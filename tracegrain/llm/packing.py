@@ -4,10 +4,12 @@ Token lengths are bounded integers, so the multiset of lengths is a histogram
 with at most as many entries as the largest permitted length, however many
 documents there are. The driver packs the histogram best-fit decreasing: all
 bins in the same state are one group, so its work depends on the lengths and not
-on the documents. A piece goes to the fullest bin that can take it; otherwise a
-bin is opened at the size that the opening rule names. All rules (each permitted
-length, and the least-cost size that fits) are tried on the same histogram and
-the cheapest total after downsizing every bin to its contents is kept.
+on the documents. A piece goes to the fullest bin that can take it, of equally
+full ones to the first opened; otherwise a bin is opened at the size that the
+opening rule names for pieces of its class (those with the same least size that
+fits). The sizes of all classes are chosen jointly: from the cheapest rule that
+is the same for all classes on, the size of one class after the other is changed
+as long as the total cost falls, after downsizing every bin to its contents.
 
 Documents find their bins by their rank among pieces of equal length. Ranks are
 counted in salted parts, so a length that most documents share is not one task.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +42,16 @@ class Plan:
     cost: int
 
 
-def pack(lengths: np.ndarray, counts: np.ndarray, capacities: tuple[int, ...], opening: int | None, overhead: int = OVERHEAD) -> Plan:
-    """Best-fit decreasing of a histogram; ``opening``: size of new bins where the piece fits it, None the least-cost size that fits."""
+def uniform(capacities: tuple[int, ...], size: int | None) -> tuple[int, ...]:
+    """The rule that opens ``size`` wherever the piece fits it, and the least-cost size that fits elsewhere or for None."""
+    return tuple(max(c, size or 0) for c in sorted(capacities))
+
+
+def pack(lengths: np.ndarray, counts: np.ndarray, capacities: tuple[int, ...], opening: tuple[int, ...], overhead: int = OVERHEAD) -> Plan:
+    """Best-fit decreasing of a histogram; ``opening``: the size of new bins for the pieces of each class, by ascending class."""
     sizes = sorted(capacities)
     cost = {c: c + overhead for c in sizes}
-    open_bins: dict[int, list[list[int]]] = {}  # remaining -> groups [first bin, bins, used]
+    open_bins: dict[int, list[list[int]]] = {}  # remaining -> heap of groups [first bin, bins, used]
     rooms: list[int] = []
     slices, bins, closed = [], 0, []
 
@@ -54,7 +62,7 @@ def pack(lengths: np.ndarray, counts: np.ndarray, capacities: tuple[int, ...], o
         if room not in open_bins:
             open_bins[room] = []
             insort(rooms, room)
-        open_bins[room].append(group)
+        heappush(open_bins[room], group)
 
     order = np.argsort(-lengths, kind="stable")
     for length, n in zip(lengths[order].tolist(), counts[order].tolist(), strict=True):
@@ -63,13 +71,12 @@ def pack(lengths: np.ndarray, counts: np.ndarray, capacities: tuple[int, ...], o
             at = bisect_left(rooms, length)
             if at < len(rooms):
                 room = rooms[at]
-                first, m, used = open_bins[room].pop()
+                first, m, used = heappop(open_bins[room])
                 if not open_bins[room]:
                     del open_bins[room]
                     rooms.pop(at)
             else:
-                fitting = [c for c in sizes if c >= length]
-                size = opening if opening is not None and opening >= length else min(fitting, key=cost.__getitem__)
+                size = opening[bisect_left(sizes, length)]
                 room, used, first = size, 0, bins
                 m = -(-(n - rank) // (size // length))
                 bins += m
@@ -98,8 +105,24 @@ def pack(lengths: np.ndarray, counts: np.ndarray, capacities: tuple[int, ...], o
 
 
 def best_plan(lengths: np.ndarray, counts: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> Plan:
-    """The cheapest plan over all opening rules; the first of equals."""
-    return min((pack(lengths, counts, capacities, rule, overhead) for rule in (None, *sorted(capacities))), key=lambda p: p.cost)
+    """The cheapest plan that the joint choice of opening sizes finds: no single rule for all classes is cheaper."""
+    sizes, tried = sorted(capacities), {}
+
+    def plan(rule: tuple[int, ...]) -> Plan:
+        if rule not in tried:
+            tried[rule] = pack(lengths, counts, capacities, rule, overhead)
+        return tried[rule]
+
+    best = min((uniform(capacities, size) for size in (None, *sizes)), key=lambda r: plan(r).cost)
+    better = True
+    while better:  # the cost falls each time, so it ends
+        better = False
+        for k in reversed(range(len(sizes))):
+            for size in sizes[k:]:
+                rule = (*best[:k], size, *best[k + 1 :])
+                if plan(rule).cost < plan(best).cost:
+                    best, better = rule, True
+    return plan(best)
 
 
 def token_length(text_col: str = "text") -> Column:
@@ -114,7 +137,8 @@ def best_fit(df: DataFrame, id_col: str = "doc_id", length: Column | None = None
     bin_capacity. Documents longer than the largest capacity are cut into pieces
     of that capacity and a rest; no token is dropped. A null or non-positive
     length counts as 1. Rows of null or repeated ids are documents of their own;
-    equal lengths are ranked by id. An empty table gives no rows.
+    equal lengths are ranked by id; further columns don't matter. A very long
+    text is only counted. An empty table gives no rows.
     """
     spark = df.sparkSession
     most = max(capacities)

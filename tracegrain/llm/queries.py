@@ -80,6 +80,10 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, s.
 """
 
 
+#: Below it a likeness is 0: sets whose lengths part them are not compared, and a comparison ends once it is out of reach.
+LEAST_LIKENESS = 0.01
+
+
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     import hashlib
 
@@ -96,7 +100,7 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     half = len(text) // 2
                     edited = text[: len(text) - half] + after[:half]
                     sets = [spotsigs.signatures(t) for t in (text, edited, after)]
-                    out.append((len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), spotsigs.pack(sets[0]), spotsigs.pack(sets[1]), spotsigs.likeness(sets[0], sets[1]), spotsigs.likeness(sets[0], sets[2])))
+                    out.append((len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), spotsigs.pack(sets[0]), spotsigs.pack(sets[1]), spotsigs.likeness(sets[0], sets[1], LEAST_LIKENESS), spotsigs.likeness(sets[0], sets[2], LEAST_LIKENESS)))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["doc_id", *names])

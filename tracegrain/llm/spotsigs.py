@@ -37,6 +37,8 @@ ANCHORS = frozenset(
 )
 _WORD = re.compile(r"\w+")
 STAND_IN = -(1 << 63)
+#: Bytes of text in a range of ids, and the most ranges; beyond, ranges grow and stream by.
+RANGE_BYTES, RANGES = 16 << 20, 20_000
 
 
 def signatures(text: str | None, chain: int = CHAIN, distance: int = DISTANCE) -> np.ndarray:
@@ -124,17 +126,18 @@ def fingerprint(text):
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and next_text: the text of the next document in ascending id, after the last the first.
 
-    Rows are dealt to id ranges, as many as shuffle partitions, and stream by in
-    order; the first row of each range is also sent to the range before it. Null
-    ids come first and ties are ordered by text; null texts are empty; a single
-    row is its own next. An empty table gives no rows.
+    Rows are dealt to id ranges, as many as the bytes of the texts ask for, and
+    stream by in order; the first row of each range is also sent to the range
+    before it. Null ids come first and ties are ordered by text; null texts are
+    empty; a single row is its own next. Very long texts pass one by one;
+    further columns are left out. An empty table gives no rows.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     ids = rows.select(F.coalesce("doc_id", F.lit(STAND_IN)).alias("id"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = int(min(RANGES, size // RANGE_BYTES + 1))
     cuts = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))  # as many as shuffle partitions
+    cuts = np.unique(np.array(cuts, np.int64))  # as many as ranges
 
     @F.pandas_udf("int")
     def range_of(i: pd.Series) -> pd.Series:
@@ -170,7 +173,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if out:
             yield _triples(out)
 
-    ordered = dealt.repartition(ranges, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
+    ordered = dealt.repartitionById(len(cuts) + 1, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
     return ordered.mapInArrow(pair, "doc_id long, text string, next_text string")
 
 

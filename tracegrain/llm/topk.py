@@ -33,6 +33,9 @@ def search_block(q_ids, q, c_ids, c, k: int, dim_block: int = DIM_BLOCK):
     nc = len(c)
     if nq == 0 or nc == 0:
         return
+    norms = [np.sqrt((m.astype(np.float64) ** 2).sum(1)).max() for m in (q, c)]
+    if norms[0] * norms[1] >= 2.0**63 * (1 - 1e-9):
+        raise OverflowError("integer inner products of these vectors can leave 64 bits")
     top = float(max(np.abs(q).max(initial=0), 1)) * float(max(np.abs(c).max(initial=0), 1)) * max(d, 1)
     kind = np.float64 if top < 2.0**52 else np.int64  # both exact
     order = np.argsort(-(c.astype(np.float64) ** 2).sum(0), kind="stable")  # heavy dimensions first
@@ -62,7 +65,8 @@ def search_block(q_ids, q, c_ids, c, k: int, dim_block: int = DIM_BLOCK):
                 for b, cut in enumerate(cuts):
                     if b:
                         acc = acc + queries[i, cut : cut + dim_block] @ vertical[cut : cut + dim_block, alive]
-                    keep = acc + left_q[b][i] * left_c[b][alive] + 1e-6 >= floor
+                    rest = left_q[b][i] * left_c[b][alive]
+                    keep = acc + rest + 1e-15 * (np.abs(acc) + rest) + 1e-6 >= floor  # whatever sums of floats lose
                     if not keep.all():
                         alive, acc = alive[keep], acc[keep]
             else:
