@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tracegrain.plans import catalog
+from tracegrain.plans import catalog, catalog_more
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +15,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["back_graph", "forward_transitive", "dedup_redundant", "semantic_compress", "edge_weights_compat", "seed_sweep", "session_texts", "plain_sequences", "similarity_matrix"])
+@pytest.mark.parametrize("name", ["back_graph", "forward_transitive", "dedup_redundant", "semantic_compress", "edge_weights_compat", "seed_sweep", "session_texts", "plain_sequences", "similarity_matrix", "propagate_k", *sorted(n for n in vars(catalog_more) if n in catalog.ORACLES)])
 def test_query_and_sql_agree(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
     want = duck.execute(catalog.ORACLES[name]).df()

@@ -30,12 +30,17 @@ def hashing_embedder(width: int = WIDTH) -> Callable[[pd.Series], list[np.ndarra
     return embed
 
 
-def embed_texts(df: DataFrame, embedder: Callable[[pd.Series], list[np.ndarray]] | None = None, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
-    """``df`` with a vector of each text. The embedder goes to the executors once a partition; any callable from texts to vectors fits."""
-    model = embedder or hashing_embedder()
+def embed_texts(df: DataFrame, embedder: Callable[[pd.Series], list[np.ndarray]] | None = None, text_col: str = "text", out_col: str = "embedding", setup: Callable[[], Callable[[pd.Series], list[np.ndarray]]] | None = None) -> DataFrame:
+    """``df``, its index columns with it, and a vector of each text.
+
+    Any callable from texts to vectors fits. ``setup`` is called once a task and
+    returns one: it loads a model, adds tokens and the like on the executor.
+    """
+    ready = embedder or hashing_embedder()
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = setup() if setup else ready
         for texts in batches:
             yield pd.Series(list(model(texts)), dtype=object)
 
@@ -68,3 +73,24 @@ def evaluate(scored: DataFrame, least: float = 0.5) -> DataFrame:
     """One row: tp, fp, fn, tn with y = 1 as the positive class."""
     said, true = F.col("probability") >= least, F.col("y") == 1
     return scored.agg(F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"), F.count_if(~said & ~true).alias("tn"))
+
+
+def train_and_evaluate(rows: DataFrame, test: float = 0.4, seed: int = 42, least: float = 0.5) -> DataFrame:
+    """One row (tp, fp, fn, tn): rows (ids, y) are rebalanced and split, a classifier learns from one part and is judged on the other."""
+    from tracegrain.operators.labels import rebalance, split
+
+    learn, held = split(rebalance(rows, seed=seed), test, seed)
+    return evaluate(predict(train(learn, seed), held), least)
+
+
+def cross_validate(rows: DataFrame, folds: int = 10, seed: int = 42, least: float = 0.5) -> DataFrame:
+    """A row (fold, tp, fp, fn, tn) for each fold, by a seeded hash of the row; folds with rows of one class only are not learned from."""
+    from functools import reduce
+
+    placed = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(folds)).cast("int"))
+    found = []
+    for k in range(folds):
+        learn, held = placed.where(F.col("fold") != k).drop("fold"), placed.where(F.col("fold") == k).drop("fold")
+        if learn.select("y").distinct().count() == 2:
+            found.append(evaluate(predict(train(learn, seed), held), least).select(F.lit(k).alias("fold"), "tp", "fp", "fn", "tn"))
+    return reduce(DataFrame.union, found) if found else evaluate(placed.select(F.lit(0.0).alias("probability"), "y")).select(F.lit(0).alias("fold"), "tp", "fp", "fn", "tn").limit(0)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.model import Poi, ProvGraph
-from tracegrain.plans.materialize import staged
+from tracegrain.plans.materialize import dropped, staged
 
 ROUNDS, TOLERANCE, POP_LIMIT = 100, 1e-13, 20_000_000
 
@@ -78,25 +78,28 @@ def propagate(graph: ProvGraph, weighted: DataFrame, poi: Poi) -> DataFrame:
     return graph.nodes.join(staged(found, "scores"), "node")
 
 
-def propagate_rounds(graph: ProvGraph, weighted: DataFrame, poi: Poi, rounds: int = ROUNDS, tolerance: float = TOLERANCE, cut: int = 5) -> DataFrame:
+def propagate_rounds(graph: ProvGraph, weighted: DataFrame, poi: Poi, rounds: int = ROUNDS, tolerance: float = TOLERANCE, cut: int = 10) -> DataFrame:
     """Nodes with ``score`` after simultaneous rounds from 1, each a join and a sum.
 
     The target stays 1 and the source at its weight to the target and itself.
-    Values differ from ``propagate``, whose updates see each other. Lineage is
-    cut, and the change measured, every ``cut`` rounds.
+    Values differ from ``propagate``, whose updates see each other, until both
+    have settled. Every ``cut`` rounds lineage is cut; the rounds end when scores
+    have changed by no more than ``tolerance`` in sum since the last cut.
     """
     pairs = staged(pair_weights(weighted).select("src", "dst", "w"), "pair-weights")
     pinned = pairs.where((F.col("src") == poi.src) & F.col("dst").isin(poi.src, poi.dst)).agg(F.sum("w")).first()[0] or 0.0
-    first = F.when(F.col("node") == poi.dst, 1.0).when(F.col("node") == poi.src, pinned).otherwise(1.0)
-    now = graph.nodes.select("node", first.alias("score"))
+    fixed = lambda other: F.when(F.col("node") == poi.dst, 1.0).when(F.col("node") == poi.src, pinned).otherwise(other)
+    every = staged(graph.nodes.select("node"), "nodes")
+    now, held = every.select("node", fixed(F.lit(1.0)).alias("score")), None
     for i in range(rounds):
-        new = pairs.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("score")).alias("new"))
-        moved = now.join(new, "node", "left")
-        value = F.when(F.col("node").isin(poi.src, poi.dst), F.col("score")).otherwise(F.coalesce("new", F.lit(0.0)))
-        now = moved.select("node", value.alias("score"), F.abs(value - F.col("score")).alias("change"))
+        parts = pairs.join(now.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), (F.col("w") * F.col("score")).alias("part"))
+        now = parts.union(every.select("node", F.lit(0.0))).groupBy("node").agg(F.sum("part").alias("score")).select("node", fixed(F.col("score")).alias("score"))
         if (i + 1) % cut == 0 or i + 1 == rounds:
-            now = staged(now, "scores")
-            if not (now.agg(F.sum("change")).first()[0] or 0.0) > tolerance:
-                break
-        now = now.drop("change")
-    return graph.nodes.join(now.select("node", "score"), "node")
+            before, now = held, staged(now, "scores")
+            if before is not None:
+                change = now.join(before.withColumnRenamed("score", "old"), "node").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
+                dropped(before)
+                if not change > tolerance:
+                    break
+            held = now
+    return graph.nodes.join(now, "node")

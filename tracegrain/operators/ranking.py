@@ -31,13 +31,20 @@ def entry_nodes(graph: ProvGraph) -> DataFrame:
     return first.where("leaves").select("node")
 
 
+def _by_score(found: DataFrame) -> DataFrame:
+    """(node, score, rank): best score first, then name; ranges are sorted side by side."""
+    from tracegrain.operators.features import ranked
+
+    rows = found.select("node", "score", (-F.col("score")).alias("down"))
+    return ranked(rows, ["down", "node"], "rank").select("node", "score", (F.col("rank") + 1).cast("int").alias("rank"))
+
+
 def rank_entries(graph: ProvGraph, scored: DataFrame) -> DataFrame:
     """Entry nodes with score and rank: best score first, then name."""
-    found = scored.join(entry_nodes(graph), "node", "left_semi")
-    return found.select("node", "score", F.row_number().over(Window.orderBy(F.desc("score"), "node")).alias("rank"))
+    return _by_score(scored.join(entry_nodes(graph), "node", "left_semi"))
 
 
 def root_entries(graph: ProvGraph, scored: DataFrame) -> DataFrame:
     """Nodes that only they themselves point to, if any, with score and rank."""
     into = graph.edges.where("src <> dst").select(F.col("dst").alias("node"))
-    return scored.join(into, "node", "left_anti").select("node", "score", F.row_number().over(Window.orderBy(F.desc("score"), "node")).alias("rank"))
+    return _by_score(scored.join(into, "node", "left_anti"))

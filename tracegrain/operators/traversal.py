@@ -27,9 +27,10 @@ def relax(steps: DataFrame, init: DataFrame, better: str, admissible: Callable[[
     improves = (lambda new, old: new < old) if better == "min" else (lambda new, old: new > old)
     state = frontier = staged(init.groupBy("node").agg(pick("thr").alias("thr")), "thresholds")
     while not frontier.isEmpty():
+        before = (state, frontier)
         offers = steps.join(frontier.select(F.col("node").alias("from"), "thr"), "from").where(admissible(F.col("gate"), F.col("thr"))).groupBy(F.col("to").alias("node")).agg(pick("next").alias("new"))
         frontier = staged(offers.join(state, "node", "left").where(F.col("thr").isNull() | improves(F.col("new"), F.col("thr"))).select("node", F.col("new").alias("thr")), "frontier")
-        state = staged(state.unionByName(frontier).groupBy("node").agg(pick("thr").alias("thr")), "thresholds")
+        state = staged(state.unionByName(frontier).groupBy("node").agg(pick("thr").alias("thr")), "thresholds", instead=before)
     return state
 
 

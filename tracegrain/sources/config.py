@@ -4,19 +4,61 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracegrain.model import Poi
 
 
-def _object(data: dict, name: str) -> dict:
-    value = data.get(name, {})
-    if not isinstance(value, dict):
+def _pairs(events: list) -> list[tuple[str, str]]:
+    return [(e[0], e[1]) for e in events]
+
+
+def _above_zero(n: Any) -> int:
+    if int(n) <= 0:
+        raise ValueError("not above zero")
+    return int(n)
+
+
+#: For each field of the file: what a case's value is like, its test, and what it becomes.
+FIELDS: dict[str, tuple[str, Callable[[Any], bool], Callable[[Any], Any]]] = {
+    "ground_truth": ("a list of events with two items or more", lambda v: isinstance(v, list) and all(isinstance(e, list) and len(e) > 1 for e in v), _pairs),
+    "poi_events": ("source, target and key", lambda v: isinstance(v, list) and len(v) > 2, lambda v: Poi(v[0], v[1], int(v[2]))),
+    "windows": ("a number above zero", lambda v: isinstance(v, int | str | float), _above_zero),
+}
+
+
+def _field(data: dict, name: str) -> dict:
+    values = data.get(name, {})
+    if not isinstance(values, dict):
         raise ValueError(f"configuration field {name!r} is not an object")
-    return value
+    like, good, become = FIELDS.get(name, ("", lambda v: True, lambda v: v))
+    out = {}
+    for case, value in values.items():
+        try:
+            if not good(value):
+                raise ValueError(value)
+            out[case] = become(value)
+        except (TypeError, ValueError) as odd:
+            raise ValueError(f"{name}[{case!r}] is not {like}") from odd
+    return out
+
+
+def named_cases(variable: str = "APT_POI_NAMES") -> list[str]:
+    """Cases that an environment variable lists, parted by commas."""
+    return [x.strip() for x in os.environ.get(variable, "").split(",") if x.strip()]
+
+
+def data_root() -> str:
+    return os.environ.get("APT_DATA_ROOT", "data")
+
+
+def output_root() -> str:
+    return os.environ.get("APT_OUTPUT_ROOT", "output")
 
 
 @dataclass(frozen=True)
@@ -33,37 +75,34 @@ class Config:
         data = json.loads(where.read_text(encoding="utf-8"))
         if not isinstance(data, dict):
             raise ValueError("the configuration is not a JSON object")
-        truth, poi, windows = {}, {}, {}
-        for case, events in _object(data, "ground_truth").items():
-            if not isinstance(events, list) or any(not isinstance(e, list) or len(e) < 2 for e in events):
-                raise ValueError(f"ground_truth[{case!r}] is not a list of events with two items or more")
-            truth[case] = [(e[0], e[1]) for e in events]
-        for case, e in _object(data, "poi_events").items():
-            if not isinstance(e, list) or len(e) < 3:
-                raise ValueError(f"poi_events[{case!r}] does not have source, target and key")
-            poi[case] = Poi(e[0], e[1], int(e[2]))
-        for case, n in _object(data, "windows").items():
-            if int(n) <= 0:
-                raise ValueError(f"windows[{case!r}] is not above zero")
-            windows[case] = int(n)
-        return cls(truth, poi, windows, _object(data, "metadata"))
+        return cls(*(_field(data, name) for name in (*FIELDS, "metadata")))
 
     def check(self) -> None:
-        """Every case has both ground truth and an event of interest."""
+        """Every case has both ground truth and an event of interest, and dot files are named by a list."""
         if odd := set(self.ground_truth) ^ set(self.poi):
-            raise ValueError(f"cases with ground truth or event of interest only: {sorted(odd)}")
+            raise ValueError(f"cases with ground truth or event of interest only: {', '.join(sorted(odd))}")
         dots = self.metadata.get("dot_file_names", [])
-        if not isinstance(dots, list):
-            raise ValueError("metadata.dot_file_names is not a list")
+        if not isinstance(dots, list) or not all(isinstance(x, str) for x in dots):
+            raise ValueError("metadata.dot_file_names is not a list of names")
+
+    def chosen(self, asked: list[str]) -> list[str]:
+        """The cases asked for, else those that the environment names, else all; an error if there are none or unknown ones."""
+        cases = asked or named_cases() or sorted(self.poi)
+        if not cases:
+            raise ValueError("no cases are configured")
+        if odd := [c for c in cases if c not in self.ground_truth or c not in self.poi]:
+            raise ValueError(f"unknown or incomplete cases: {', '.join(odd)}")
+        return cases
+
+    def windows_of(self, case: str) -> int:
+        """The case's number of windows, else that of APT_WINDOWS_NUM, else 10."""
+        return self.windows.get(case) or _above_zero(os.environ.get("APT_WINDOWS_NUM", "10"))
+
+    def is_dot(self, case: str) -> bool:
+        return case in self.metadata.get("dot_file_names", []) or case in named_cases("APT_DOT_FILE_NAMES")
 
     def graph_path(self, root: str, case: str) -> str:
-        dot = case in self.metadata.get("dot_file_names", [])
-        return f"{root}/graph/{'dot/back' if dot else 'back_add'}/{case}"
+        return f"{root}/graph/{'dot/back' if self.is_dot(case) else 'back_add'}/{case}"
 
     def truth(self, spark: SparkSession, case: str) -> DataFrame:
         return spark.createDataFrame([(case, *pair) for pair in self.ground_truth.get(case, [])], "case string, src string, dst string")
-
-
-def named_cases(variable: str = "APT_POI_NAMES") -> list[str]:
-    """Cases that an environment variable lists, parted by commas."""
-    return [x.strip() for x in os.environ.get(variable, "").split(",") if x.strip()]
