@@ -27,6 +27,8 @@ from tracegrain.plans.materialize import staged
 GRAMS, SLOT_BITS, HASHES, LEAST_RATE = (2, 3), 20, 4, 1e-6
 #: Characters handled at a time, and distinct n-grams a task holds before it passes them on.
 BLOCK_CHARS, TASK_GRAMS = 1_000_000, 2_000_000
+#: Most languages; more distinct values are an error, as the column then holds something else.
+LANGUAGES = 4096
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 UNDETERMINED = "und"
 _LETTERS: list[np.ndarray] = []
@@ -162,10 +164,13 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int
     row the model knows no language and predicts ``und`` everywhere.
     """
     rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull())
+    names = rows.select("lang").distinct().limit(LANGUAGES + 1).collect()
+    if len(names) > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} values")
     counts = rows.mapInArrow(_count, "lang string, key long, n long").groupBy("key", "lang").agg(F.sum("n").alias("n"))
     counts = staged(counts, "language-grams")
     totals = sorted(((r.lang, r.n) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()), key=lambda r: (-r[1], r[0]))
-    seen = {r.lang for r in rows.select("lang").distinct().collect()}
+    seen = {r.lang for r in names}
     languages = [lang for lang, _ in totals] + sorted(seen - {lang for lang, _ in totals})
     words = max(1, -(-len(languages) // 64))
     if not totals:
