@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions import tokens
 from tracegrain.model import EDGE_KEY, ProvGraph
-from tracegrain.operators import embedding, filters, labels, metrics, reduction, sequences, traversal
+from tracegrain.operators import embedding, filters, labels, metrics, propagation, ranking, reduction, sequences, traversal
 from tracegrain.operators import features as feat
 from tracegrain.plans import catalog
 from tracegrain.plans import investigate as inv
@@ -89,6 +89,17 @@ def rich_back_graph(spark, d):
     return _edges(traversal.backward(g, adapter.event_poi(g)))
 
 
+@query("rich_root_entries", _sql("root_entries"))
+def rich_root_entries(spark, d):
+    g = _rich(spark, d)
+    poi = adapter.event_poi(g)
+    b = traversal.backward(g, poi)
+    b = ProvGraph(staged(b.nodes, "nodes"), staged(b.edges, "edges"))
+    weights = staged(feat.edge_weights(feat.edge_features(b, poi), compat=True), "weights")
+    scored = propagation.propagate_rounds(b, weights, poi).withColumn("score", F.round("score", 8))
+    return ranking.root_entries(b, scored)
+
+
 @query("back_graph_or_equal", _with(BASE, BACK.replace("e.start_time < thr.t", "e.start_time <= thr.t").replace("e.start_time < top.t", "e.start_time <= top.t")) + f" SELECT {EDGE} FROM back")
 def back_graph_or_equal(spark, d):
     g = _graph(spark, d)
