@@ -184,3 +184,20 @@ def test_no_rows_and_no_training(spark):
     r = ctw.score(df, F.lit(False)).first()
     assert r.train_tokens == 0 and r.score == pytest.approx(32 * math.log10(0.5))
     assert r.bits_per_byte == pytest.approx(8)
+
+
+def test_a_very_long_text_is_counted_in_blocks(monkeypatch):
+    """No array follows the length of a text: the largest block stays near ``BLOCK``."""
+    seen, count = [], ctw.gram_keys
+
+    def watched(bodies, depth):
+        seen.append(sum(map(len, bodies)))
+        return count(bodies, depth)
+
+    monkeypatch.setattr(ctw, "gram_keys", watched)
+    chunk, packed = ctw._Chunk(0, 5), 0
+    for r in chunk.add(1, False, "some words of a text " * 400_000):
+        packed += r.num_rows
+    assert packed >= 3  # texts leave in parts, too
+    list(chunk.close())
+    assert sum(seen) > 8_000_000 and max(seen) < 2 * ctw.BLOCK + 1000
