@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.graphs import graph, nodes
 from tracegrain.functions.tokens import node_label, node_tokens, padded, positional_similarity
+from tracegrain.model import numbered
 from tracegrain.operators import embedding, labels, sequences
 
 
@@ -32,6 +33,32 @@ def test_sessions_split_at_the_gap(spark):
     assert [(r.session_no, r.event_no) for r in rows] == [(0, 0), (0, 1), (1, 0), (2, 0)]
 
 
+def test_slices_have_no_influence_on_sessions(spark):
+    rng = random.Random(5)
+    events = [(f"p_{rng.randrange(3)}", rng.choice(["f", "p_0"]), "write", rng.choice([0, 1, 2, 15, 16, 40, 41, 70, 200, 201]) + rng.choice([0, 0, 3, 7])) for _ in range(150)]
+    found = sequences.process_events(graph(spark, events))
+    rows = found.unionByName(found.withColumn("start_time", F.lit(None).cast("double")).where("key = 0"))
+    plain = rows.collect()
+    for gap in (0, 4, 13):
+        want = {}
+        for r in sorted(plain, key=lambda r: (r.process, r.start_time is not None, r.start_time or 0, r.edge_ord)):
+            session, event, last = want[r.process][-1] if r.process in want else (0, -1, None)
+            new = last is not None and r.start_time - last >= gap
+            want.setdefault(r.process, []).append((session + new, 0 if new else event + 1, r.start_time))
+        for width in (1, 10):
+            got = {}
+            for r in sequences.sessions(rows, gap, width).collect():
+                got.setdefault(r.process, []).append((r.session_no, r.event_no, r.start_time))
+            assert {p: sorted(x, key=lambda y: y[:2]) for p, x in got.items()} == want
+
+
+def test_numbers_go_on_over_slices(spark):
+    rows = [(k, i, i * 37 % 100) for k in "ab" for i in range(100)] + [(None, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, i int, o int")
+    got = numbered(df, ["k"], F.floor(F.col("o") / 7), [F.col("o")], "n").collect()
+    assert sorted((r.k, r.i, r.o, r.n) for r in got) == [(k, i, o, o) for k, i, o in rows[:-1]]
+
+
 def plain_texts(events, tokens, gap, most):
     """Offered texts of one process by the rule, step by step."""
     out, text, held, last = [], "", [], None
@@ -57,6 +84,11 @@ def test_texts_overflow(spark):
     rows = sequences.event_texts(sequences.process_events(g), sequences.vocabulary_of_nodes(g), 8, 12)
     got = [r.text for r in rows.orderBy("session_no", "event_no", "piece_no").collect()]
     assert got == plain_texts(events, tokens, 8, 12)
+    # a token that is empty leaves no blank at the end, and one that is long starts a text
+    odd = {"p_1": ["p", ""], "f:a": [""], "f:b:c": ["x"] * 11}
+    vocabulary = spark.createDataFrame(list(odd.items()), "node string, tokens array<string>")
+    rows = sequences.event_texts(sequences.process_events(g), vocabulary, 8, 12)
+    assert [r.text for r in rows.orderBy("session_no", "event_no", "piece_no").collect()] == plain_texts(events, odd, 8, 12)
     once = [r.text for r in sequences.session_texts(sequences.process_events(g), sequences.vocabulary_of_nodes(g), 8, 12).collect()]
     assert sorted(once) == sorted(set(got))
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EDGE_KEY = ["src", "dst", "key"]
+#: Insertions, and time in the unit of the events' times, that one window covers when the events of a pair are numbered.
+INS_SLICE, TIME_SLICE = 1 << 20, 3_600_000
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,22 @@ def time_order() -> list[Column]:
     return [F.col("start_time"), F.col("edge_ord")]
 
 
+def numbered(df: DataFrame, keys: list[str], cut: Column, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the number from 0 of each row among those with its ``keys``, by ``order``.
+
+    ``cut`` is a slice number that never descends along ``order``: rows are
+    numbered slice by slice and the counts of earlier slices added, so a key
+    with very many rows is many tasks. Rows with a null key are left out.
+    """
+    part = "__slice"
+    rows = df.withColumn(part, F.coalesce(cut.cast("long"), F.lit(-(1 << 63))))
+    counts = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(*keys, part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))
+    return rows.join(base, [*keys, part]).withColumn(name, F.col("__base") + own - 1).drop(part, "__base")
+
+
 def build(raw: DataFrame, node_types: DataFrame) -> ProvGraph:
     """A graph from events (ins, src, dst, type, start_time, end_time, data_amount).
 
@@ -66,10 +84,10 @@ def build(raw: DataFrame, node_types: DataFrame) -> ProvGraph:
     """
     ends = raw.select(F.explode(F.array(F.struct(F.col("src").alias("node"), (2 * F.col("ins")).alias("at")), F.struct(F.col("dst").alias("node"), (2 * F.col("ins") + 1).alias("at")))).alias("e")).select("e.*")
     nodes = ends.groupBy("node").agg(F.min("at").alias("node_ord")).join(node_types.dropDuplicates(["node"]), "node", "left").select("node", "node_ord", "type")
-    pair = Window.partitionBy("src", "dst")
+    pairs = raw.groupBy("src", "dst").agg(F.min("ins").alias("pair_ord"))
     edges = (
-        raw.withColumn("pair_ord", F.min("ins").over(pair))
-        .withColumn("key", F.row_number().over(pair.orderBy("ins")).cast("long") - 1)
+        numbered(raw, ["src", "dst"], F.floor(F.col("ins") / INS_SLICE), [F.col("ins")], "key")
+        .join(pairs, ["src", "dst"])
         .join(nodes.select(F.col("node").alias("src"), F.col("node_ord").alias("src_ord")), "src")
         .select("src", "dst", "key", F.struct("src_ord", "pair_ord", "ins").alias("edge_ord"), "type", F.col("start_time").cast("double"), F.col("end_time").cast("double"), F.col("data_amount").cast("long"))
     )

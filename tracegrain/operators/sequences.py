@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrain.functions.tokens import node_tokens
-from tracegrain.model import EDGE_KEY, ProvGraph
+from tracegrain.model import EDGE_KEY, TIME_SLICE, ProvGraph
 
 GAP, MOST_TOKENS = 10_000, 510
+#: Events whose texts are given out together.
+TEXT_ROWS = 500
 
 
 def process_events(graph: ProvGraph) -> DataFrame:
@@ -18,12 +21,38 @@ def process_events(graph: ProvGraph) -> DataFrame:
     return ends.join(processes, "process").select("process", "node_ord", *graph.edges.columns)
 
 
-def sessions(events: DataFrame, gap: float = GAP) -> DataFrame:
-    """Events with session_no and event_no, from 0: a session ends at a pause of ``gap`` or more."""
-    order = Window.partitionBy("process").orderBy("start_time", "edge_ord")
-    new = F.coalesce((F.col("start_time") - F.lag("start_time").over(order) >= gap).cast("long"), F.lit(0).cast("long"))
-    found = events.withColumn("new", new).withColumn("session_no", F.sum("new").over(order)).drop("new")
-    return found.withColumn("event_no", F.row_number().over(Window.partitionBy("process", "session_no").orderBy("start_time", "edge_ord")).cast("long") - 1)
+def sessions(events: DataFrame, gap: float = GAP, slice: float = TIME_SLICE) -> DataFrame:
+    """Events with session_no and event_no, from 0: a session ends at a pause of ``gap`` or more.
+
+    A process is numbered slice of time by slice of time, so one that holds many
+    events is many tasks; a row a slice carries on what came before. The width
+    of the slices has no influence on the result. Null times come first and
+    break nothing.
+    """
+    cut = F.coalesce(F.floor(F.col("start_time") / slice).cast("long"), F.lit(-(1 << 63)))
+    pause = F.coalesce((F.col("start_time") - F.lag("start_time").over(Window.partitionBy("process", "slice").orderBy("start_time")) >= gap), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("process", "slice").orderBy("start_time")).cast("long") - 1
+    found = events.select("process", "start_time", cut.alias("slice")).withColumn("new", pause).withColumn("place", place)
+    first, last = F.min("start_time").alias("first"), F.max("start_time").alias("last")
+    parts = found.groupBy("process", "slice").agg(F.count(F.lit(1)).alias("n"), first, last, F.count_if("new").alias("breaks"), F.max(F.when(F.col("new"), F.col("place"))).alias("break_at"))
+    order = Window.partitionBy("process").orderBy("slice")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("opens", F.coalesce(F.col("first") - F.lag("last").over(order) >= gap, F.lit(False))).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    begun = F.coalesce(F.col("base") + F.col("break_at"), F.when(F.col("opens"), F.col("base")))
+    carried = parts.select(
+        "process",
+        "slice",
+        "base",
+        (F.coalesce(F.sum("breaks").over(before), F.lit(0)) + F.sum(F.col("opens").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("session_base"),
+        F.when(F.col("opens"), F.col("base")).otherwise(F.coalesce(F.max(begun).over(before), F.lit(0))).alias("begun"),
+    )
+    inside = Window.partitionBy("process", "slice").orderBy("start_time", "edge_ord")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    new = F.coalesce(F.col("start_time") - F.lag("start_time").over(inside) >= gap, F.lit(False))
+    rows = events.withColumn("slice", cut).join(carried, ["process", "slice"]).withColumn("new", new).withColumn("at", F.col("base") + F.row_number().over(inside) - 1)
+    begin = F.coalesce(F.max(F.when(F.col("new"), F.col("at"))).over(upto), F.col("begun"))
+    rows = rows.withColumn("session_no", F.col("session_base") + F.sum(F.col("new").cast("long")).over(upto)).withColumn("event_no", F.col("at") - begin)
+    return rows.select(*events.columns, "session_no", "event_no")
 
 
 def vocabulary_of_nodes(graph: ProvGraph) -> DataFrame:
@@ -44,31 +73,41 @@ def event_texts(events: DataFrame, tokens: DataFrame, gap: float = GAP, most: in
     target. If that would exceed ``most`` tokens, the text so far is offered
     again (piece 0) and a new text starts with the event and a leading blank
     (piece 1). Events whose nodes have no entry in ``tokens`` are skipped.
+
+    Where a text ends depends on where the one before ended, so a session
+    streams by in order; only the text so far is held, ``most`` tokens or one event.
     """
     names = tokens.select("node", "tokens")
     found = sessions(events, gap).join(names.select(F.col("node").alias("src"), F.col("tokens").alias("u")), "src").join(names.select(F.col("node").alias("dst"), F.col("tokens").alias("v")), "dst")
-    words = found.select("process", "node_ord", "session_no", "event_no", F.concat("u", F.array("type"), "v").alias("w"))
-    session = Window.partitionBy("process", "session_no").orderBy("event_no")
-    # the chunk an event falls in depends on where the last one started: a fold over the sizes of the session's events
-    sizes = words.groupBy("process", "session_no").agg(F.array_sort(F.collect_list(F.struct("event_no", F.size("w").alias("k")))).alias("s"))
-    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("chunks"))
-
-    def step(a, x):
-        over = (a["used"] >= most) | (a["used"] + x["k"] > most)
-        chunk = a["chunk"] + over.cast("int")
-        return F.struct(F.when(over, x["k"]).otherwise(a["used"] + x["k"]).alias("used"), chunk.alias("chunk"), F.concat(a["chunks"], F.array(chunk)).alias("chunks"))
-
-    placed = sizes.select("process", "session_no", F.explode(F.arrays_zip(F.col("s.event_no").alias("event_no"), F.aggregate("s", zero, step)["chunks"].alias("chunk"))).alias("z")).select("process", "session_no", "z.event_no", "z.chunk")
-    rows = words.join(placed, ["process", "session_no", "event_no"])
-    grown = Window.partitionBy("process", "session_no", "chunk").orderBy("event_no").rowsBetween(Window.unboundedPreceding, 0)
-    text = F.array_join(F.flatten(F.collect_list("w").over(grown)), " ")
-    first = F.row_number().over(Window.partitionBy("process", "session_no", "chunk").orderBy("event_no")) == 1
-    rows = rows.withColumn("body", text).withColumn("starts", first & (F.col("chunk") > 0))
-    # a text that started after an overflow keeps its leading blank until the next event is added
-    rows = rows.withColumn("text", F.when(F.col("starts"), F.concat(F.lit(" "), "body")).otherwise(F.trim("body")))
-    before = F.coalesce(F.lag("text").over(session), F.lit(""))
-    offers = F.when(F.col("starts"), F.array(before, F.col("text"))).otherwise(F.array("text"))
-    return rows.withColumn("offers", offers).select("process", "node_ord", "session_no", "event_no", F.posexplode("offers").alias("piece_no", "text"))
+    words = F.concat("u", F.array("type"), "v")
+    # a blank before each word
+    rows = found.where(words.isNotNull()).select("process", "node_ord", "session_no", "event_no", F.size(words).alias("n"), F.concat(F.lit(" "), F.array_join(words, " ")).alias("more"))
+    ordered = rows.repartition("process", "session_no").sortWithinPartitions("process", "session_no", "event_no")
+
+    def grow(batches):
+        session, text, held = None, "", 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXT_ROWS):
+                b = whole.slice(start, TEXT_ROWS)
+                at, pieces, offers = [], [], []
+                for i, (process, number, n, more) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 2, 4, 5)), strict=True)):
+                    if (process, number) != session:
+                        session, text, held = (process, number), "", 0
+                    if held >= most or held + n > most:
+                        at += (i, i)
+                        pieces += (0, 1)
+                        offers += (text, more)
+                        text, held = more, n
+                    else:
+                        text, held = (text + more).strip(), held + n
+                        at.append(i)
+                        pieces.append(0)
+                        offers.append(text)
+                keys = b.select([0, 1, 2, 3]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(pieces, pa.int32()), pa.array(offers, pa.string())], names=[*keys.schema.names, "piece_no", "text"])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema.fields[:4])
+    return ordered.mapInArrow(grow, f"{kept}, piece_no int, text string")
 
 
 def session_texts(events: DataFrame, tokens: DataFrame, gap: float = GAP, most: int = MOST_TOKENS) -> DataFrame:
