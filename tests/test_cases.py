@@ -97,6 +97,26 @@ def test_subsets_of_many_nodes(spark):
     with pytest.raises(ValueError, match="too many"):
         labels.combinations(names)
     assert labels.combinations(nodes(spark, "a", "b", "c")).groupBy("combo").count().count() == 4
+    assert labels.combinations(nodes(spark, "a", "b"), 1).groupBy("combo").count().count() == 3
+    assert labels.combinations(nodes(spark, "a").limit(0), 1).count() == 0
+    assert labels.combinations(nodes(spark, "a"), 2, 5).count() == 0
+    with pytest.raises(ValueError, match="combinations"):
+        labels.combinations(nodes(spark, *[f"n{i}" for i in range(63)]), 1, 2)
+
+
+def test_probes_of_bounded_subsets_of_many_nodes(spark):
+    many = [f"p{i:02}" for i in range(30)]
+    g = graph(spark, [(n, "f1", "write", i) for i, n in enumerate(many)])
+    _, probes = labels.probe_sequences(g, nodes(spark, *many), nodes(spark, "f1", "p00"), 1)
+    assert sorted((r.combo, r.other) for r in probes.collect()) == [(1 << i, "f1") for i in range(30)]
+
+
+def test_folds_have_their_share_of_each_class(spark):
+    rows = spark.createDataFrame([([i % 7, i], int(i < 18)) for i in range(60)], "ids array<int>, y int")
+    found = embedding.cross_validate(rows).collect()
+    assert [r.fold for r in found] == list(range(6))
+    assert [r.tp + r.fn for r in found] == [3] * 6
+    assert [r.fp + r.tn for r in found] == [7] * 6
 
 
 def test_under_sampling_drops_alike_rows(spark):
