@@ -225,6 +225,19 @@ def test_near_pairs_match_all_pairs(spark):
     assert {r.doc_id: r.rep for r in member.collect()} == {i: reps[spotsigs.pack(s)] for i, s in sets.items()}
 
 
+def test_sets_exactly_at_the_threshold_are_compared(spark):
+    a = np.arange(100, dtype=np.uint32)
+    assert 100 * 0.55 > 55 and spotsigs.likeness(a[:55], a, 0.55) == 0.55
+    assert all(spotsigs.likeness(a[:k], a, k / 100) == k / 100 for k in range(1, 101))
+    words = [f"w{i}" for i in range(102)]  # 100 chains, of which 55
+    rows = [(1, " ".join(words)), (2, " ".join(words[:57])), (3, " ".join(words[:56]))]
+    sizes = [len(spotsigs.signatures(t)) for _, t in rows]
+    assert sizes[1] / sizes[0] > sizes[2] / sizes[0]
+    least = sizes[1] / sizes[0]
+    pairs, _ = spotsigs.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), least=least)
+    assert (1, 2) in {(r.a, r.b) for r in pairs.collect()} and (1, 3) not in {(r.a, r.b) for r in pairs.collect()}
+
+
 def test_pruned_likeness_is_exact_above_the_threshold():
     rng = np.random.default_rng(0)
     for _ in range(200):

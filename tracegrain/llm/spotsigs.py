@@ -37,6 +37,8 @@ ANCHORS = frozenset(
 )
 _WORD = re.compile(r"\w+")
 STAND_IN = -(1 << 63)
+#: Bounds give way by this much, so that sets which reach a threshold exactly are compared.
+ROUNDING = 1e-9
 #: Bytes of text in a range of ids, and the most ranges; beyond, ranges grow and stream by.
 RANGE_BYTES, RANGES = 16 << 20, 20_000
 
@@ -99,7 +101,7 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if not len(large):
         return 1.0
-    if len(small) < least * len(large):
+    if len(small) < least * len(large) - ROUNDING:
         return 0.0
     misses = len(small) - least / (1 + least) * (len(small) + len(large))  # more misses in the small set than this are too many
     both = missed = 0
@@ -108,7 +110,7 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
         at = np.searchsorted(large, part)
         hit = int((large[np.minimum(at, len(large) - 1)] == part).sum())
         both, missed = both + hit, missed + len(part) - hit
-        if missed > misses + 1e-9:
+        if missed > misses + ROUNDING:
             return 0.0
     return both / (len(small) + len(large) - both)
 
@@ -197,20 +199,19 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     def sigs(fp: pd.Series) -> pd.Series:
         return pd.Series([unpack(f).astype(np.int64) for f in fp])
 
-    sets = staged(classes.select("rep", sigs("fp").alias("s"), "fp").withColumn("n", F.size("s")).where("n > 0"), "signature-sets")
-    known = sets.select(F.explode("s").alias("sig"), "rep", "n")
+    length = F.octet_length(F.unbase64("fp")) / 4
+    sets = staged(classes.select("rep", "fp", length.cast("int").alias("n")).where("n > 0"), "signature-sets")
+    known = sets.select(F.explode(sigs("fp")).alias("sig"), "rep", "n")
     rare = known.groupBy("sig").agg(F.count(F.lit(1)).alias("f"))
-    by_rarity = Window.partitionBy("rep").orderBy("f", "sig")
-    prefix = known.join(rare, "sig").where("f > 1").withColumn("at", F.row_number().over(by_rarity))
-    # signatures of one set alone can't be shared: they count as the rarest, before the others
-    alone = known.join(rare, "sig").groupBy("rep").agg(F.count_if(F.col("f") == 1).alias("alone"))
-    prefix = prefix.join(alone, "rep").where(F.col("at") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    at = F.row_number().over(Window.partitionBy("rep").orderBy("f", "sig"))
+    # signatures of one set alone are the rarest: they take their places, but can't be shared
+    prefix = known.join(rare, "sig").withColumn("at", at).where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - ROUNDING) + 1) & (F.col("f") > 1))
     step = math.log(1 / least)
-    level = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+    level = F.floor(F.log(F.col("n").cast("double")) / step + ROUNDING).cast("int")
     short = prefix.select("sig", level.alias("level"), F.col("rep").alias("x"), F.col("n").alias("nx"))
     long = prefix.select("sig", F.explode(F.array(level, level - 1)).alias("level"), F.col("rep").alias("y"), F.col("n").alias("ny"))
     fit = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    pairs = short.join(long, ["sig", "level"]).where(fit & (F.col("nx") >= F.col("ny") * least)).select("x", "y").distinct()
+    pairs = short.join(long, ["sig", "level"]).where(fit & (F.col("nx") >= F.col("ny") * least - ROUNDING)).select("x", "y").distinct()
 
     @F.pandas_udf("double")
     def like(a: pd.Series, b: pd.Series) -> pd.Series:
